@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listmill.functions.text import unix_lines
+
 CHANGE = "struct<file_path:string,file_op:string,addlines:int,dellines:int>"
 CHANGES = f"array<{CHANGE}>"
 
@@ -48,10 +50,6 @@ def _change(path: Column, op: Column, added: Column, removed: Column) -> Column:
     )
 
 
-def _unix_lines(body: Column) -> Column:
-    return F.replace(body, F.lit("\r\n"), F.lit("\n"))
-
-
 def _svn_list(section: Column, op: Column) -> Column:
     """Indented paths, without the notes that say where a directory came from."""
     lines = F.filter(
@@ -73,7 +71,7 @@ def _svn_diff(section: Column, kind: Column) -> Column:
 
 def svn_changes(body: Column) -> Column:
     """SVN notice to an array of changes, in the order of the text."""
-    sections = F.regexp_extract_all(_unix_lines(body), F.lit(_SVN_SECTION), F.lit(0))
+    sections = F.regexp_extract_all(unix_lines(body), F.lit(_SVN_SECTION), F.lit(0))
 
     def expand(section: Column) -> Column:
         kind = F.substring_index(section, ":", 1)
@@ -98,7 +96,7 @@ def file_operation(old: Column, new: Column) -> Column:
 def git_changes(body: Column) -> Column:
     """Git notice to an array of changes: one per file address that has a diff."""
     sections = F.filter(
-        F.regexp_extract_all(_unix_lines(body), F.lit(_GIT_SECTION), F.lit(0)),
+        F.regexp_extract_all(unix_lines(body), F.lit(_GIT_SECTION), F.lit(0)),
         lambda s: F.rlike(s, F.lit(_GIT_DIFF)),
     )
 

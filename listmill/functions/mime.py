@@ -7,28 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listmill.functions.text import after_header, header, header_block, header_lines
+from listmill.functions.text import FIELD, after_header, header, header_block, header_lines
 
 _STATE = "struct<open:array<string>,text:string,encoding:string,in_text:boolean>"
 
+# The headers of parts that carry a whole mail, any number deep. A delivery report is
+# no such mail.
+_OTHER_FIELD = rf"(?!content-type:){FIELD}"
+_CARRIER = (
+    rf"(?i)^(?:(?=(?:{_OTHER_FIELD})*+content-type:\s*message/(?!delivery-status))"
+    rf"(?:{FIELD})*+\r?\n)*+"
+)
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Name a value inside a lambda so that it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def content_type(lines: Column) -> Column:
-    """Lower-case media type; text/plain when absent or malformed."""
-    value = F.lower(F.trim(F.substring_index(header(lines, "content-type"), ";", 1)))
-    return F.when(F.rlike(value, F.lit(r"^[^/]*/[^/]*$")), value).otherwise("text/plain")
+def content_type(value: Column) -> Column:
+    """Lower-case media type of a header; text/plain when absent or malformed."""
+    kind = F.regexp_extract(value, r"^\s*([^/;]*/[^/;]*?)\s*(?:;|$)", 1)
+    return F.coalesce(F.lower(F.nullif(kind, F.lit(""))), F.lit("text/plain"))
 
 
-def boundary(lines: Column) -> Column:
-    """Boundary parameter of the content type, null when there is none."""
-    value = header(lines, "content-type")
-    quoted = F.regexp_extract(value, r'(?i);\s*boundary\s*=\s*"([^"]+)"', 1)
-    bare = F.regexp_extract(value, r'(?i);\s*boundary\s*=\s*([^\s;"]+)', 1)
-    return F.nullif(F.rtrim(F.when(quoted != "", quoted).otherwise(bare)), F.lit(""))
+def boundary(value: Column) -> Column:
+    """Boundary parameter of a content type header, '' when there is none."""
+    given = F.regexp_extract(value, r"""(?i);\s*boundary\s*=\s*("[^"]*"|[^\s;"]*)""", 1)
+    return F.coalesce(F.rtrim(F.replace(given, F.lit('"'))), F.lit(""))
 
 
 def transfer_encoding(lines: Column) -> Column:
@@ -65,11 +71,11 @@ def from_quoted_printable(payload: Column) -> Column:
 
 
 def decode_payload(payload: Column, encoding: Column) -> Column:
-    """Undo the transfer encoding, then the charset."""
+    """Undo the transfer encoding, then the charset; other payloads are text as they are."""
     return (
         F.when(encoding == "base64", bytes_to_text(from_base64(payload)))
         .when(encoding == "quoted-printable", bytes_to_text(from_quoted_printable(payload)))
-        .otherwise(bytes_to_text(payload.cast("binary")))
+        .otherwise(payload)
     )
 
 
@@ -85,37 +91,32 @@ def _delimiters(raw: Column) -> Column:
     )
 
 
-def _entity(text: Column) -> Column:
-    """A headed text to its type, boundary, transfer encoding and content."""
-    return _let(
-        header_block(text),
-        lambda head: _let(
-            header_lines(head),
-            lambda lines: F.struct(
-                content_type(lines).alias("type"),
-                boundary(lines).alias("boundary"),
-                transfer_encoding(lines).alias("encoding"),
-                after_header(text, head).alias("content"),
-            ),
-        ),
-    )
-
+def _described(piece: Column, i: Column) -> Column:
+    """A piece to the name on its delimiter line and its type, encoding and content."""
+    line = F.rtrim(F.substring_index(piece, "\n", 1), F.lit(" \t\r"))
+    rest = F.when(i == 0, piece).otherwise(F.regexp_extract(piece, r"^[^\n]*\n([\s\S]*)", 1))
 
-def _unwrap(entity: Column) -> Column:
-    """A mail carried inside a mail counts by its own headers.
+    def fields(text: Column, head: Column, lines: Column) -> Column:
+        value = header(lines, "content-type")
+        kind = content_type(value)
+        report = kind == "message/delivery-status"
+        return F.struct(
+            F.when(i > 0, F.substr(line, F.lit(3))).alias("name"),
+            (report | (kind == "text/plain")).alias("is_text"),
+            F.when(F.startswith(kind, F.lit("multipart/")), F.filter(F.array(boundary(value)), lambda b: b != ""))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("inner"),
+            transfer_encoding(lines).alias("encoding"),
+            F.when(report, "").otherwise(after_header(text, head)).alias("content"),
+            piece.alias("piece"),
+        )
 
-    The blocks of a delivery report count as empty text.
-    """
-    report = F.struct(
-        F.lit("text/plain").alias("type"),
-        F.lit(None).cast("string").alias("boundary"),
-        F.lit("").alias("encoding"),
-        F.lit("").alias("content"),
-    )
-    return (
-        F.when(entity["type"] == "message/delivery-status", report)
-        .when(F.startswith(entity["type"], F.lit("message/")), _entity(entity["content"]))
-        .otherwise(entity)
+    return _let(
+        F.regexp_replace(rest, _CARRIER, ""),
+        lambda text: _let(
+            header_block(text),
+            lambda head: _let(header_lines(head), lambda lines: fields(text, head, lines)),
+        ),
     )
 
 
@@ -123,70 +124,36 @@ def _last_text_leaf(raw: Column) -> Column:
     """Walk the delimiter lines and keep the last text/plain leaf.
 
     ``open`` holds the boundaries in force, outermost first. A delimiter line of a
-    boundary that is not in force is ordinary text.
+    boundary that is not in force is ordinary text. A mail inside a mail counts by its
+    own headers, the blocks of a delivery report count as empty text.
     """
-    pieces = F.transform(
-        F.split(raw, _delimiters(raw)),
-        lambda piece, i: F.struct(
-            F.when(i > 0, F.rtrim(F.substring_index(piece, "\n", 1), F.lit(" \t\r"))).alias("line"),
-            F.when(
-                i > 0,
-                F.when(F.contains(piece, F.lit("\n")), F.regexp_replace(piece, r"^[^\n]*\n", "")).otherwise(""),
-            ).otherwise(piece).alias("rest"),
-            piece.alias("piece"),
-        ),
-    )
-    described = F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.substring(p["line"], F.lit(3), F.length(p["line"])).alias("name"),
-            _let(_let(_entity(p["rest"]), _unwrap), _unwrap).alias("entity"),
-            p["piece"].alias("piece"),
-        ),
-    )
 
-    def opened(state: Column, part: Column, depth: Column) -> Column:
-        entity = part["entity"]
-        outer = F.slice(state["open"], F.lit(1), depth)
-        is_multi = F.startswith(entity["type"], F.lit("multipart/"))
-        is_text = entity["type"] == "text/plain"
-        inner = F.when(
-            is_multi & entity["boundary"].isNotNull(), F.concat(outer, F.array(entity["boundary"]))
-        ).otherwise(outer)
-        return F.struct(
-            inner.alias("open"),
-            F.when(is_text, entity["content"]).otherwise(state["text"]).alias("text"),
-            F.when(is_text, entity["encoding"]).otherwise(state["encoding"]).alias("encoding"),
-            is_text.alias("in_text"),
-        ).cast(_STATE)
-
-    def closed(state: Column, depth: Column) -> Column:
-        return F.struct(
-            F.slice(state["open"], F.lit(1), depth - 1).alias("open"),
-            state["text"].alias("text"),
-            state["encoding"].alias("encoding"),
-            F.lit(False).alias("in_text"),
-        ).cast(_STATE)
-
-    def continued(state: Column, part: Column) -> Column:
-        grown = F.concat(state["text"], F.lit("\n"), part["piece"])
+    def step(state: Column, part: Column) -> Column:
+        name, now = part["name"], state["open"]
+        depth = F.coalesce(F.array_position(now, name), F.lit(0)).cast("int")
+        end = F.array_position(now, F.regexp_extract(name, "^(.*)--$", 1)).cast("int")
+        opens = name.isNull() | (depth > 0)
+        closes = ~opens & (end > 0)
+        goes_on = ~opens & ~closes & state["in_text"]
+        begins = opens & part["is_text"]
         return F.struct(
-            state["open"].alias("open"),
-            F.when(state["in_text"], grown).otherwise(state["text"]).alias("text"),
-            state["encoding"].alias("encoding"),
-            state["in_text"].alias("in_text"),
+            F.when(opens, F.concat(F.slice(now, F.lit(1), depth), part["inner"]))
+            .when(closes, F.slice(now, F.lit(1), end - 1))
+            .otherwise(now)
+            .alias("open"),
+            F.when(begins, part["content"])
+            .when(goes_on, F.concat(state["text"], F.lit("\n"), part["piece"]))
+            .otherwise(state["text"])
+            .alias("text"),
+            F.when(begins, part["encoding"]).otherwise(state["encoding"]).alias("encoding"),
+            (begins | goes_on).alias("in_text"),
         ).cast(_STATE)
 
-    def step(state: Column, part: Column) -> Column:
-        at = F.array_position(state["open"], part["name"]).cast("int")
-        marks = F.transform(state["open"], lambda b: F.concat(b, F.lit("--")))
-        shut = F.array_position(marks, part["name"]).cast("int")
-        return (
-            F.when(part["name"].isNull(), opened(state, part, F.lit(0)))
-            .when(at > 0, opened(state, part, at))
-            .when(shut > 0, closed(state, shut))
-            .otherwise(continued(state, part))
-        )
+    def finish(state: Column) -> Column:
+        # Parts that the message never closes lose the line break it ends with.
+        unclosed = state["in_text"] & (F.size(state["open"]) > 0)
+        text = F.when(unclosed, F.regexp_replace(state["text"], r"\r?\n\z", "")).otherwise(state["text"])
+        return F.struct(text.alias("text"), state["encoding"].alias("encoding"))
 
     start = F.struct(
         F.array().cast("array<string>").alias("open"),
@@ -194,26 +161,18 @@ def _last_text_leaf(raw: Column) -> Column:
         F.lit(None).cast("string").alias("encoding"),
         F.lit(False).alias("in_text"),
     ).cast(_STATE)
-
-    def finish(state: Column) -> Column:
-        # Parts that the message never closes lose the line break it ends with.
-        unclosed = state["in_text"] & (F.size(state["open"]) > 0)
-        text = F.when(unclosed, F.regexp_replace(state["text"], r"\r?\n\z", "")).otherwise(state["text"])
-        return decode_payload(text, state["encoding"])
-
-    return F.aggregate(described, start, step, finish)
+    return F.aggregate(F.transform(F.split(raw, _delimiters(raw)), _described), start, step, finish)
 
 
-def text_body(raw: Column, head: Column, lines: Column) -> Column:
-    """Text of a message: its only body, or the last text/plain leaf of its parts.
+def text_part(raw: Column, head: Column, lines: Column) -> Column:
+    """Still encoded text of a message: ``text`` and ``encoding``, text null for none.
 
-    Null when it has no plain text. The plain single-part case takes no lambda.
+    It is the only body, or the last text/plain leaf of the parts. The plain single-part
+    case takes no lambda.
     """
-    kind = content_type(lines)
-    return F.when(
-        F.startswith(kind, F.lit("multipart/")) | F.startswith(kind, F.lit("message/")),
-        _last_text_leaf(raw),
-    ).when(
-        kind == "text/plain",
-        decode_payload(after_header(raw, head), transfer_encoding(lines)),
+    kind = content_type(header(lines, "content-type"))
+    single = F.struct(
+        F.when(kind == "text/plain", after_header(raw, head)).alias("text"),
+        transfer_encoding(lines).alias("encoding"),
     )
+    return F.when(F.rlike(kind, F.lit("^(?:multipart|message)/")), _last_text_leaf(raw)).otherwise(single)

@@ -40,41 +40,35 @@ def _person(name: Column, email: Column) -> Column:
     return F.struct(name.alias("name"), email.alias("email"))
 
 
-def email_sender(sender: Column) -> Column:
+def email_sender(name: Column, address: Column) -> Column:
     """Sender of a plain mail: the display name, else the local part."""
-    address = mailbox_address(sender)
-    return _person(F.coalesce(non_empty(mailbox_name(sender)), local_part(address)), address)
+    return _person(F.coalesce(non_empty(name), local_part(address)), address)
 
 
-def svn_author(sender: Column, text: Column) -> Column:
+def svn_author(name: Column, address: Column, text: Column) -> Column:
     """Author of an SVN notice, who is also the committer."""
-    address = mailbox_address(sender)
-    name = F.coalesce(
-        non_empty(mailbox_name(sender)),
-        non_empty(F.regexp_extract(text, r"\nAuthor: ?(\S+)", 1)),
-        local_part(address),
+    in_text = non_empty(F.regexp_extract(text, r"\nAuthor: ?(\S+)", 1))
+    return _person(F.coalesce(non_empty(name), in_text, local_part(address)), address)
+
+
+def _named(text: Column, pattern: str) -> Column:
+    """Name and address on a line of a Git notice, null when there is no such line."""
+    line = F.regexp_substr(text, F.lit(pattern))
+    return F.when(
+        line.isNotNull(),
+        _person(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)),
     )
-    return _person(name, address)
 
 
 def git_author(text: Column) -> Column:
-    """Author named in a Git notice; both fields null when it names none."""
-    found = F.regexp_substr(text, F.lit(_AUTHOR))
-    return _person(
-        F.when(found.isNotNull(), F.regexp_extract(found, _AUTHOR, 1)),
-        F.when(found.isNotNull(), F.regexp_extract(found, _AUTHOR, 2)),
-    )
+    """Author named in a Git notice, null when it names none."""
+    return _named(text, _AUTHOR)
 
 
-def git_committer(sender: Column, text: Column) -> Column:
+def git_committer(author: Column, address: Column, text: Column) -> Column:
     """Committer named in a Git notice, else the mail's sender.
 
     A notice without an author falls back to the sender as well.
     """
-    address = mailbox_address(sender)
-    found = F.regexp_substr(text, F.lit(_COMMITTER))
-    named = found.isNotNull() & F.rlike(text, F.lit(_AUTHOR))
-    return _person(
-        F.when(named, F.regexp_extract(found, _COMMITTER, 1)).otherwise(local_part(address)),
-        F.when(named, F.regexp_extract(found, _COMMITTER, 2)).otherwise(address),
-    )
+    named = F.when(author.isNotNull(), _named(text, _COMMITTER))
+    return F.coalesce(named, _person(local_part(address), address))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A header block: an optional envelope line, then fields and their folded lines.
-# Possessive repeats keep the match iterative however long the block is.
-_HEAD = r"^(?:From [^\n]*\n)?(?:(?:[!-9;-~]*:|[\t ])[^\n]*(?:\n|\z))*+"
+# A header block: an optional envelope line, then fields and their folded lines, then
+# the empty line. Possessive repeats keep the match iterative however long the block is.
+FIELD = r"(?:[!-9;-~]*:|[\t ])[^\n]*(?:\n|\z)"
+_HEAD = rf"^(?:From [^\n]*\n)?(?:{FIELD})*+(?:\r?\n)?"
 
 # The fields that any column is derived from (fixed values).
 _FIELDS = (
@@ -18,8 +19,17 @@ _WANTED = rf"(?imd)^(?:{_FIELDS}):[^\n]*(?:\n[ \t][^\n]*)*+"
 
 
 def strip_non_ascii(c: Column) -> Column:
-    """Delete every byte above 0x7F; also right for text that is not valid UTF-8."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]+", "")
+    """Delete every byte above 0x7F; also right for text that is not valid UTF-8.
+
+    Valid text with as many characters as bytes is ASCII already and takes no regex.
+    """
+    is_ascii = (F.octet_length(c) == F.length(c)) & F.is_valid_utf8(c)
+    return F.when(is_ascii, c).otherwise(F.regexp_replace(c, r"[^\x00-\x7F]+", ""))
+
+
+def unix_lines(c: Column) -> Column:
+    pair = F.lit("\r\n")
+    return F.when(F.contains(c, pair), F.replace(c, pair, F.lit("\n"))).otherwise(c)
 
 
 def flatten_whitespace(c: Column) -> Column:
@@ -28,18 +38,12 @@ def flatten_whitespace(c: Column) -> Column:
 
 
 def header_block(raw: Column) -> Column:
-    """The header block of a message, up to but not including the empty line."""
+    """The header block of a message and the empty line behind it."""
     return F.regexp_extract(raw, _HEAD, 0)
 
 
 def after_header(raw: Column, head: Column) -> Column:
-    """The text behind ``head`` and the one empty line that ends it."""
-    rest = F.substring(raw, F.length(head) + 1, F.length(raw))
-    return (
-        F.when(F.startswith(rest, F.lit("\r\n")), F.substring(rest, F.lit(3), F.length(rest)))
-        .when(F.startswith(rest, F.lit("\n")), F.substring(rest, F.lit(2), F.length(rest)))
-        .otherwise(rest)
-    )
+    return F.substr(raw, F.length(head) + 1)
 
 
 def header_lines(head: Column) -> Column:
@@ -53,9 +57,13 @@ def header_lines(head: Column) -> Column:
 
 def header(lines: Column, name: str) -> Column:
     """First field called ``name`` in any case, null when there is none."""
-    line = F.regexp_substr(lines, F.lit(rf"(?imd)^{name}:[^\n]*"))
-    value = F.substring(line, F.lit(len(name) + 2), F.length(line))
-    return F.ltrim(value, F.lit(" \t"))
+    value = F.regexp_substr(lines, F.lit(rf"(?imd)(?<=^{name}):[^\n]*"))
+    return F.regexp_replace(value, r"^:[ \t]*", "")
+
+
+def has_value(lines: Column, name: str) -> Column:
+    """Whether the first field called ``name`` is there and not empty."""
+    return F.rlike(lines, F.lit(rf"(?i)\A(?:(?!{name}:)[^\n]*\n)*+{name}:[ \t]*[^ \t\n]"))
 
 
 def has_header_prefix(lines: Column, prefix: str) -> Column:

@@ -20,14 +20,15 @@ def with_headers(mails: DataFrame) -> DataFrame:
 
 def with_message_id(mails: DataFrame) -> DataFrame:
     """Mails that have a Message-ID; a record without one is the tail of another mail."""
-    named = mails.withColumn("message_id", text.header(F.col("lines"), "message-id"))
-    return named.filter(F.col("message_id").isNotNull() & (F.col("message_id") != ""))
+    return mails.filter(text.has_value(F.col("lines"), "message-id")).withColumn(
+        "message_id", text.header(F.col("lines"), "message-id")
+    )
 
 
 def with_fields(mails: DataFrame) -> DataFrame:
-    """Header values that later steps read."""
+    """Header values and the text, each a column of its own so that it is computed once."""
     lines = F.col("lines")
-    return mails.withColumns(
+    fields = mails.withColumns(
         {
             "sender": text.header(lines, "from"),
             "receiver_email": text.header(lines, "to"),
@@ -37,7 +38,15 @@ def with_fields(mails: DataFrame) -> DataFrame:
             "reference_id": text.header(lines, "in-reply-to"),
             "x_mailer": text.header(lines, "x-mailer"),
             "has_git_header": text.has_header_prefix(lines, "x-git-"),
-            "body": mime.text_body(F.col("raw"), F.col("head"), lines),
+            "part": mime.text_part(F.col("raw"), F.col("head"), lines),
+        }
+    )
+    return fields.withColumns(
+        {
+            "body": mime.decode_payload(F.col("part.text"), F.col("part.encoding")),
+            "sender_name": people.mailbox_name(F.col("sender")),
+            "sender_address": people.mailbox_address(F.col("sender")),
+            "message_date": dates.clean_date(F.col("header_date")),
         }
     )
 
@@ -71,15 +80,17 @@ def with_changes(mails: DataFrame, strict: bool = False) -> DataFrame:
 
 def with_people(mails: DataFrame) -> DataFrame:
     """Author and committer; the author of a plain mail is its sender."""
-    sender, raw = F.col("sender"), F.col("raw")
-    author = (
-        F.when(F.col("msg_format") == "SVN", people.svn_author(sender, raw))
-        .when(F.col("msg_format") == "Git", people.git_author(raw))
-        .otherwise(people.email_sender(sender))
-    )
-    return mails.withColumn("author", author).withColumn(
+    name, address, raw = F.col("sender_name"), F.col("sender_address"), F.col("raw")
+    kind = F.col("msg_format")
+    return mails.withColumn(
+        "author",
+        F.when(kind == "SVN", people.svn_author(name, address, raw))
+        .when(kind == "Git", people.git_author(raw))
+        .otherwise(people.email_sender(name, address)),
+    ).withColumn(
         "committer",
-        F.when(F.col("msg_format") == "Git", people.git_committer(sender, raw)).otherwise(F.col("author")),
+        F.when(kind == "Git", people.git_committer(F.col("author"), address, raw))
+        .otherwise(F.col("author")),
     )
 
 
@@ -109,7 +120,6 @@ def parse_mails(mails: DataFrame, strict: bool = False, with_content: bool = Fal
         .transform(with_class)
         .transform(with_changes, strict)
         .transform(with_people)
-        .withColumn("message_date", dates.clean_date(F.col("header_date")))
         .transform(with_reason)
         .select(
             *KEYS,

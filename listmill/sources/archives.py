@@ -55,20 +55,20 @@ def scan_records(reader, root: str, excluded: list[str]) -> DataFrame:
 
 
 def records_to_mails(records: DataFrame) -> DataFrame:
-    """Number the records, drop the envelope line and clean the text.
+    """Number the records, clean the text and drop the envelope line.
 
     Ids grow along a split; the start of the split orders the splits of one file.
     """
-    end = F.locate("\n", F.col("value"))
-    text = F.when(end > 0, F.substring(F.col("value"), end + 1, F.length("value"))).otherwise("")
-    return records.select(
+    clean = records.withColumn("value", strip_non_ascii(F.col("value")))
+    rest = F.substr("value", F.locate("\n", "value") + 1)
+    return clean.select(
         "proj_dir",
         "folder",
         "mbox",
         "file_path",
         "block_start",
         F.monotonically_increasing_id().alias("seq"),
-        strip_non_ascii(text).alias("raw"),
+        F.when(F.contains("value", F.lit("\n")), rest).otherwise("").alias("raw"),
     )
 
 

@@ -176,7 +176,7 @@ lines AS (
   SELECT *, string_split({CLEAN_SQL}, chr(10)) AS ls FROM documents
 ),
 facts AS (
-  SELECT doc_id, source, ls,
+  SELECT doc_id, source, text, ls,
     len(list_filter(ls, lambda l, i: (i - 1) % 3 = 0 AND NOT starts_with(l, '+')))::INT AS plus3,
     len(list_filter(ls, lambda l, i: (i - 1) % 3 = 1 AND NOT starts_with(l, '-')))::INT AS minus3,
     len(list_filter(ls, lambda l, i: (i - 1) % 2 = 0 AND NOT starts_with(l, '+')))::INT AS plus2,
