@@ -34,8 +34,7 @@ def read_end_dates(spark: SparkSession, path: str) -> DataFrame:
     """JSON object of alias to date text, as ``alias, end_date``."""
     entries = F.explode(F.from_json("value", "map<string,string>"))
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(entries.alias("alias", "text"))
         .select("alias", any_date(F.col("text")).alias("end_date"))
     )

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.option("wholetext", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("page"), F.col("value").alias("html")
     )

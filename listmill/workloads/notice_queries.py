@@ -311,8 +311,8 @@ def _count(period: int, places: str, sign: str) -> str:
 
 _EVENT_FORMS = """
   SELECT *, event_id % 11 AS form,
-    strftime(ts, '%a, ') AS wd, strftime(ts, '%-d %b %Y %H:%M:%S') AS full,
-    strftime(ts, '%-d %b 20%y %H:%M:%S') AS short
+    strftime(ts, '%a, ') AS wd, strftime(ts, '%-d %b %Y %H:%M:%S') AS long_date,
+    strftime(ts, '%-d %b 20%y %H:%M:%S') AS short_date
   FROM events
 """
 
@@ -370,9 +370,9 @@ ORACLES = {
         FROM documents""",
     "mail_dates": f"""
         SELECT event_id,
-          CASE WHEN form IN (0, 1, 2) THEN NULL WHEN form = 3 THEN short || ' -0800'
-               WHEN form = 4 THEN wd || full || ' -0700' WHEN form = 5 THEN full || ' +0000'
-               ELSE wd || full || ' +0530' END AS message_date,
+          CASE WHEN form IN (0, 1, 2) THEN NULL WHEN form = 3 THEN short_date || ' -0800'
+               WHEN form = 4 THEN wd || long_date || ' -0700' WHEN form = 5 THEN long_date || ' +0000'
+               ELSE wd || long_date || ' +0530' END AS message_date,
           CASE WHEN form NOT IN (0, 1, 2) THEN date_trunc('second', ts) END AS message_ts
         FROM ({_EVENT_FORMS})""",
     "rejects": """
