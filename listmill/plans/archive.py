@@ -32,11 +32,14 @@ def run(
 ) -> dict[str, int]:
     """Parse an archive tree once and write all tables under ``target``.
 
-    The parsed messages are written first; the tables are cut from that narrow copy.
-    Returns the counts of the run.
+    The dimension is written and read back, so that Spark knows its size when it picks
+    the join. The parsed messages are written next; the tables are cut from that narrow
+    copy. Returns the counts of the run.
     """
+    projects.write.mode("overwrite").parquet(f"{target}/projects")
+    dimension = spark.read.schema(projects.schema).parquet(f"{target}/projects")
     counts = Observation("parse")
-    parsed = parse(read_archives(spark, root), projects, strict, with_content).observe(
+    parsed = parse(read_archives(spark, root), dimension, strict, with_content).observe(
         counts,
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("reject_reason") == "bad_date").alias("ignored"),
