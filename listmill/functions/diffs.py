@@ -24,62 +24,62 @@ _SVN_SECTION = (
     r")"
 )
 _GIT_SECTION = r"(?md)^https?:/[^\n]*(?:\n(?!https?:/)[^\n]*)*+"
-# From the diff line to the line that names the new file; then the rest.
-_GIT_DIFF = (
-    r"(?md)^diff -[^\n]*(?:\n(?!--- )[^\n]*)*+"
-    r"\n--- [^\n]?([^\n]*)\n[^\n]{0,5}+([^\n]*)((?:\n[^\n]*)*+)"
+# A section up to the two lines that name the old and the new file.
+_GIT_NAMES = (
+    r"\A(?:(?!diff -)[^\n]*\n)*+diff -[^\n]*(?:\n(?!--- )[^\n]*)*+\n--- [^\n]*\n[^\n]*"
 )
 
 
-def added_lines(diff: Column) -> Column:
-    """Lines that begin with one plus sign."""
-    return F.regexp_count(diff, F.lit(r"(?md)^\+(?!\+)"))
+def added_lines(lines: Column) -> Column:
+    """How many lines begin with one plus sign."""
+    return _signed(lines, "+")
 
 
-def removed_lines(diff: Column) -> Column:
-    """Lines that begin with one minus sign."""
-    return F.regexp_count(diff, F.lit(r"(?md)^-(?!-)"))
+def removed_lines(lines: Column) -> Column:
+    """How many lines begin with one minus sign."""
+    return _signed(lines, "-")
+
+
+def _signed(lines: Column, sign: str) -> Column:
+    return F.size(
+        F.filter(lines, lambda l: F.startswith(l, F.lit(sign)) & ~F.startswith(l, F.lit(sign * 2)))
+    )
 
 
 def _change(path: Column, op: Column, added: Column, removed: Column) -> Column:
     return F.struct(
-        path.alias("file_path"),
-        op.alias("file_op"),
-        added.cast("int").alias("addlines"),
-        removed.cast("int").alias("dellines"),
+        path.alias("file_path"), op.alias("file_op"), added.alias("addlines"), removed.alias("dellines")
     )
 
 
-def _svn_list(section: Column, op: Column) -> Column:
+def _svn_list(lines: Column, kind: Column) -> Column:
     """Indented paths, without the notes that say where a directory came from."""
-    lines = F.filter(
-        F.split(section, "\n"),
-        lambda l: F.startswith(l, F.lit(" ")) & ~F.rlike(l, F.lit(r"^ +- copied from")),
+    op = F.when(kind == "Removed", "remove").otherwise("copy")
+    paths = F.filter(
+        lines, lambda l: F.startswith(l, F.lit(" ")) & ~F.rlike(l, F.lit(r"^ +- copied from"))
     )
-    zero = F.lit(0)
-    return F.transform(lines, lambda l: _change(F.substring(l, 5, 1 << 30), op, zero, zero))
+    return F.transform(paths, lambda l: _change(F.substr(l, F.lit(5)), op, F.lit(0), F.lit(0)))
 
 
-def _svn_diff(section: Column, kind: Column) -> Column:
-    title = F.substring_index(section, "\n", 1)
-    name = F.substring(title, F.length(kind) + 3, F.length(title))
+def _svn_diff(lines: Column, kind: Column) -> Column:
+    name = F.substr(F.get(lines, 0), F.length(kind) + 3)
     path = F.when(kind == "Copied", F.substring_index(name, " ", 1)).otherwise(name)
     op = F.when(kind == "Modified", "mod").when(kind == "Copied", "copy").otherwise("add")
-    removed = F.when(kind == "Added", 0).otherwise(removed_lines(section))
-    return F.array(_change(path, op, added_lines(section), removed))
+    removed = F.when(kind == "Added", 0).otherwise(removed_lines(lines))
+    return F.array(_change(path, op, added_lines(lines), removed))
 
 
 def svn_changes(body: Column) -> Column:
     """SVN notice to an array of changes, in the order of the text."""
     sections = F.regexp_extract_all(unix_lines(body), F.lit(_SVN_SECTION), F.lit(0))
 
-    def expand(section: Column) -> Column:
-        kind = F.substring_index(section, ":", 1)
-        is_list = F.rlike(section, F.lit(r"^\w+:[ \t]*\n"))
-        op = F.when(kind == "Removed", "remove").otherwise("copy")
-        return F.when(is_list, _svn_list(section, op)).otherwise(_svn_diff(section, kind))
+    def expand(lines: Column) -> Column:
+        title = F.get(lines, 0)
+        kind = F.substring_index(title, ":", 1)
+        is_list = F.rlike(title, F.lit(r"^\w+:[ \t]*$"))
+        return F.when(is_list, _svn_list(lines, kind)).otherwise(_svn_diff(lines, kind))
 
-    return F.flatten(F.transform(sections, expand)).cast(CHANGES)
+    return F.flatten(F.transform(F.transform(sections, lambda s: F.split(s, "\n")), expand)).cast(CHANGES)
 
 
 def file_operation(old: Column, new: Column) -> Column:
@@ -95,21 +95,27 @@ def file_operation(old: Column, new: Column) -> Column:
 
 def git_changes(body: Column) -> Column:
     """Git notice to an array of changes: one per file address that has a diff."""
-    sections = F.filter(
-        F.regexp_extract_all(unix_lines(body), F.lit(_GIT_SECTION), F.lit(0)),
-        lambda s: F.rlike(s, F.lit(_GIT_DIFF)),
+    sections = F.regexp_extract_all(unix_lines(body), F.lit(_GIT_SECTION), F.lit(0))
+    named = F.transform(
+        sections, lambda s: F.struct(F.regexp_extract(s, _GIT_NAMES, 0).alias("names"), s.alias("text"))
+    )
+    parts = F.transform(
+        F.filter(named, lambda s: s["names"] != ""),
+        lambda s: F.struct(
+            F.split(s["names"], "\n").alias("names"),
+            F.split(F.substr(s["text"], F.length(s["names"]) + 1), "\n").alias("lines"),
+        ),
     )
 
-    def change(section: Column) -> Column:
-        address = F.substring_index(section, "\n", 1)
-        path = F.regexp_replace(address, r"^https?:/.?", "")
-        rest = F.regexp_extract(section, _GIT_DIFF, 3)
-        op = file_operation(
-            F.regexp_extract(section, _GIT_DIFF, 1), F.regexp_extract(section, _GIT_DIFF, 2)
+    def change(part: Column) -> Column:
+        names, lines = part["names"], part["lines"]
+        name = lambda at: F.substr(F.element_at(names, at), F.lit(6))
+        path = F.regexp_replace(F.get(names, 0), r"^https?:/.?", "")
+        return _change(
+            path, file_operation(name(-2), name(-1)), added_lines(lines), removed_lines(lines)
         )
-        return _change(path, op, added_lines(rest), removed_lines(rest))
 
-    return F.transform(sections, change).cast(CHANGES)
+    return F.transform(parts, change).cast(CHANGES)
 
 
 def git_author_date(text: Column) -> Column:

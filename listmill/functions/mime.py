@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listmill.functions.text import FIELD, after_header, header, header_block, header_lines
+from listmill.functions.text import (
+    FIELD,
+    after_header,
+    header_block,
+    header_lines,
+    header_text,
+    let,
+)
 
 _STATE = "struct<open:array<string>,text:string,encoding:string,in_text:boolean>"
 
@@ -20,38 +25,37 @@ _CARRIER = (
 )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Name a value inside a lambda so that it is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def content_type(lines: Column) -> Column:
+    """Lower-case media type; '' when absent or malformed, which means plain text."""
+    value = header_text(lines, "content-type")
+    return F.lower(F.regexp_extract(value, r"^\s*([^/;]*/[^/;]*?)\s*(?:;|$)", 1))
 
 
-def content_type(value: Column) -> Column:
-    """Lower-case media type of a header; text/plain when absent or malformed."""
-    kind = F.regexp_extract(value, r"^\s*([^/;]*/[^/;]*?)\s*(?:;|$)", 1)
-    return F.coalesce(F.lower(F.nullif(kind, F.lit(""))), F.lit("text/plain"))
+def is_plain_text(kind: Column) -> Column:
+    return kind.isin("", "text/plain")
 
 
-def boundary(value: Column) -> Column:
-    """Boundary parameter of a content type header, '' when there is none."""
-    given = F.regexp_extract(value, r"""(?i);\s*boundary\s*=\s*("[^"]*"|[^\s;"]*)""", 1)
-    return F.coalesce(F.rtrim(F.replace(given, F.lit('"'))), F.lit(""))
+def boundary(lines: Column) -> Column:
+    """Boundary parameter of the content type, '' when there is none."""
+    given = F.regexp_extract(
+        header_text(lines, "content-type"), r"""(?i);\s*boundary\s*=\s*("[^"]*"|[^\s;"]*)""", 1
+    )
+    return F.rtrim(F.replace(given, F.lit('"')))
 
 
 def transfer_encoding(lines: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(header(lines, "content-transfer-encoding"))), F.lit(""))
+    return F.lower(F.trim(header_text(lines, "content-transfer-encoding")))
 
 
 def bytes_to_text(data: Column) -> Column:
     """UTF-8 where the bytes are valid UTF-8, else Latin-1."""
-    text = data.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(data, "ISO-8859-1"))
+    return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
 
 
 def from_base64(payload: Column) -> Column:
-    """Lenient base64: foreign characters ignored, missing padding supplied."""
+    """Lenient base64: foreign characters and a dangling last one are ignored."""
     code = F.regexp_replace(F.regexp_replace(payload, r"=[\s\S]*", ""), r"[^A-Za-z0-9+/]+", "")
-    whole = F.substring(code, F.lit(1), F.length(code) - (F.length(code) % 4 == 1).cast("int"))
-    return F.unbase64(F.rpad(whole, ((F.length(whole) + 3) / 4).cast("int") * 4, F.lit("=")))
+    return F.unbase64(F.regexp_replace(code, r"^((?:.{4})*+).\z", "$1"))
 
 
 def from_quoted_printable(payload: Column) -> Column:
@@ -96,14 +100,13 @@ def _described(piece: Column, i: Column) -> Column:
     line = F.rtrim(F.substring_index(piece, "\n", 1), F.lit(" \t\r"))
     rest = F.when(i == 0, piece).otherwise(F.regexp_extract(piece, r"^[^\n]*\n([\s\S]*)", 1))
 
-    def fields(text: Column, head: Column, lines: Column) -> Column:
-        value = header(lines, "content-type")
-        kind = content_type(value)
+    def fields(text: Column, head: Column, lines: Column, kind: Column) -> Column:
         report = kind == "message/delivery-status"
+        inner = F.filter(F.array(boundary(lines)), lambda b: b != "")
         return F.struct(
             F.when(i > 0, F.substr(line, F.lit(3))).alias("name"),
-            (report | (kind == "text/plain")).alias("is_text"),
-            F.when(F.startswith(kind, F.lit("multipart/")), F.filter(F.array(boundary(value)), lambda b: b != ""))
+            (report | is_plain_text(kind)).alias("is_text"),
+            F.when(F.startswith(kind, F.lit("multipart/")), inner)
             .otherwise(F.array().cast("array<string>"))
             .alias("inner"),
             transfer_encoding(lines).alias("encoding"),
@@ -111,11 +114,14 @@ def _described(piece: Column, i: Column) -> Column:
             piece.alias("piece"),
         )
 
-    return _let(
+    def read(text: Column, head: Column, lines: Column) -> Column:
+        return let(content_type(lines), lambda kind: fields(text, head, lines, kind))
+
+    return let(
         F.regexp_replace(rest, _CARRIER, ""),
-        lambda text: _let(
+        lambda text: let(
             header_block(text),
-            lambda head: _let(header_lines(head), lambda lines: fields(text, head, lines)),
+            lambda head: let(header_lines(head), lambda lines: read(text, head, lines)),
         ),
     )
 
@@ -164,15 +170,14 @@ def _last_text_leaf(raw: Column) -> Column:
     return F.aggregate(F.transform(F.split(raw, _delimiters(raw)), _described), start, step, finish)
 
 
-def text_part(raw: Column, head: Column, lines: Column) -> Column:
+def text_part(raw: Column, head: Column, kind: Column, encoding: Column) -> Column:
     """Still encoded text of a message: ``text`` and ``encoding``, text null for none.
 
-    It is the only body, or the last text/plain leaf of the parts. The plain single-part
-    case takes no lambda.
+    It is the only body, or the last text/plain leaf of the parts. ``kind`` and
+    ``encoding`` are those of the message itself. A single part takes no lambda.
     """
-    kind = content_type(header(lines, "content-type"))
     single = F.struct(
-        F.when(kind == "text/plain", after_header(raw, head)).alias("text"),
-        transfer_encoding(lines).alias("encoding"),
+        F.when(is_plain_text(kind), after_header(raw, head)).alias("text"),
+        encoding.alias("encoding"),
     )
     return F.when(F.rlike(kind, F.lit("^(?:multipart|message)/")), _last_text_leaf(raw)).otherwise(single)

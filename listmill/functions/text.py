@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def header(lines: Column, name: str) -> Column:
     return F.regexp_replace(value, r"^:[ \t]*", "")
 
 
+def header_text(lines: Column, name: str) -> Column:
+    """Like ``header``, but '' when there is none; each input is evaluated once."""
+    value = F.regexp_extract(lines, rf"(?imd)(?<=^{name}):[^\n]*", 0)
+    return F.regexp_replace(value, r"^:[ \t]*", "")
+
+
 def has_value(lines: Column, name: str) -> Column:
     """Whether the first field called ``name`` is there and not empty."""
     return F.rlike(lines, F.lit(rf"(?i)\A(?:(?!{name}:)[^\n]*\n)*+{name}:[ \t]*[^ \t\n]"))
@@ -70,5 +78,10 @@ def has_header_prefix(lines: Column, prefix: str) -> Column:
     return F.rlike(lines, F.lit(rf"(?imd)^{prefix}"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value inside a lambda so that it is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))

@@ -25,8 +25,20 @@ def with_message_id(mails: DataFrame) -> DataFrame:
     )
 
 
+def with_body(mails: DataFrame) -> DataFrame:
+    """The decoded text as ``body``; every step is a column, so that none runs twice."""
+    lines = F.col("lines")
+    typed = mails.withColumns(
+        {"media_type": mime.content_type(lines), "encoding": mime.transfer_encoding(lines)}
+    )
+    parts = mime.text_part(F.col("raw"), F.col("head"), F.col("media_type"), F.col("encoding"))
+    return typed.withColumn("part", parts).withColumn(
+        "body", mime.decode_payload(F.col("part.text"), F.col("part.encoding"))
+    )
+
+
 def with_fields(mails: DataFrame) -> DataFrame:
-    """Header values and the text, each a column of its own so that it is computed once."""
+    """Header values that later steps read."""
     lines = F.col("lines")
     fields = mails.withColumns(
         {
@@ -38,12 +50,10 @@ def with_fields(mails: DataFrame) -> DataFrame:
             "reference_id": text.header(lines, "in-reply-to"),
             "x_mailer": text.header(lines, "x-mailer"),
             "has_git_header": text.has_header_prefix(lines, "x-git-"),
-            "part": mime.text_part(F.col("raw"), F.col("head"), lines),
         }
     )
     return fields.withColumns(
         {
-            "body": mime.decode_payload(F.col("part.text"), F.col("part.encoding")),
             "sender_name": people.mailbox_name(F.col("sender")),
             "sender_address": people.mailbox_address(F.col("sender")),
             "message_date": dates.clean_date(F.col("header_date")),
@@ -116,6 +126,7 @@ def parse_mails(mails: DataFrame, strict: bool = False, with_content: bool = Fal
     return (
         mails.transform(with_headers)
         .transform(with_message_id)
+        .transform(with_body)
         .transform(with_fields)
         .transform(with_class)
         .transform(with_changes, strict)

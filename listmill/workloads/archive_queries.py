@@ -144,7 +144,7 @@ def incremental_ids(spark: SparkSession, sf: str) -> DataFrame:
         part = documents.filter(doc_id() % 3 == 2) if drop else documents.filter(doc_id() % 3 != 2)
         archives.write_mbox(
             part.select(
-                words("p", F.floor(doc_id() / 50)).alias("proj_dir"),
+                _directory().alias("proj_dir"),
                 F.lit(f"list{drop}").alias("folder"),
                 F.lit(f"m{drop}").alias("mbox"),
                 value.alias("value"),
@@ -155,6 +155,10 @@ def incremental_ids(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.stored(spark, target).select("proj_dir", "message_id")
 
 
+def _directory():
+    return words("p", F.floor(doc_id() / 50) % 20)
+
+
 def _key():
     return F.when(doc_id() % 10 == 9, doc_id() - 1).otherwise(doc_id())
 
@@ -162,7 +166,7 @@ def _key():
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     named = table(spark, sf, "documents").select(
         "doc_id",
-        words("p", F.floor(doc_id() / 50)).alias("proj_dir"),
+        _directory().alias("proj_dir"),
         words("<", _key(), "@h>").alias("message_id"),
         words("l", doc_id() % 3).alias("folder"),
         words("m", doc_id() % 12).alias("mbox"),
@@ -223,13 +227,13 @@ ORACLES = {
                             OR (kind = 'svn' AND doc_id % 37 = 0))
         GROUP BY 2""",
     "incremental": """
-        SELECT DISTINCT 'p' || (doc_id // 50) AS proj_dir,
+        SELECT DISTINCT 'p' || ((doc_id // 50) % 20) AS proj_dir,
                '<' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END || '@h>' AS message_id
         FROM documents""",
     "dedup_first": """
         SELECT doc_id, proj_dir, message_id, folder, mbox FROM (
           SELECT *, row_number() OVER (PARTITION BY proj_dir, message_id ORDER BY folder, mbox, doc_id) AS n
-          FROM (SELECT doc_id, 'p' || (doc_id // 50) AS proj_dir,
+          FROM (SELECT doc_id, 'p' || ((doc_id // 50) % 20) AS proj_dir,
                   '<' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END || '@h>' AS message_id,
                   'l' || (doc_id % 3) AS folder, 'm' || (doc_id % 12) AS mbox FROM documents))
         WHERE n = 1""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listmill.functions import classify, dates, diffs, mime, people, text
+from listmill.functions import classify, dates, diffs, people, text
 from listmill.operators import messages
 from listmill.operators.projects import with_project
 from listmill.scratch import shared_folder
@@ -87,11 +87,8 @@ def mime_body(spark: SparkSession, sf: str) -> DataFrame:
     mails = table(spark, sf, "conversations").select(
         "conv_id", "turn", text.strip_non_ascii(raw).alias("raw")
     )
-    part = mime.text_part(F.col("raw"), F.col("head"), F.col("lines"))
     return (
-        mails.transform(messages.with_headers)
-        .select("conv_id", "turn", part.alias("part"))
-        .select("conv_id", "turn", mime.decode_payload(F.col("part.text"), F.col("part.encoding")).alias("body"))
+        mails.transform(messages.with_headers).transform(messages.with_body).select("conv_id", "turn", "body")
     )
 
 

@@ -7,6 +7,7 @@ from helpers import GIT_BODY, SVN_BODY, apply
 from pyspark.sql import functions as F
 
 from listmill.functions import classify, dates, diffs, mime, pages, people, text
+from listmill.operators import messages
 
 
 def changes(spark, function, *bodies):
@@ -260,10 +261,8 @@ def stdlib_body(raw):
 
 def bodies(spark, raws):
     frame = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").repartition(8)
-    parsed = frame.withColumn("head", text.header_block(F.col("raw"))).withColumn("lines", text.header_lines(F.col("head")))
-    part = parsed.withColumn("p", mime.text_part(F.col("raw"), F.col("head"), F.col("lines")))
-    rows = part.select("i", mime.decode_payload(F.col("p.text"), F.col("p.encoding")).alias("b")).collect()
-    return [r.b for r in sorted(rows)]
+    rows = frame.transform(messages.with_headers).transform(messages.with_body).select("i", "body").collect()
+    return [r.body for r in sorted(rows)]
 
 
 def random_leaf(rng):
