@@ -46,14 +46,13 @@ def split_nested(files: DataFrame) -> DataFrame:
 
     Keys without a hyphen are left out; with several, the last one parts.
     """
-    key = F.regexp_extract
-    nested = files.filter(F.contains("nested_key", F.lit("-")))
-    return nested.withColumns(
-        {
-            "project": key("nested_key", "^(.*)-([^-]*)$", 1),
-            "folder": key("nested_key", "^(.*)-([^-]*)$", 2),
-        }
-    ).drop("nested_key")
+    parts = "^(.*)-([^-]*)$"
+    return (
+        files.filter(F.contains("nested_key", F.lit("-")))
+        .withColumn("project", F.regexp_extract("nested_key", parts, 1))
+        .withColumn("folder", F.regexp_extract("nested_key", parts, 2))
+        .drop("nested_key")
+    )
 
 
 def overwrite_union(base: DataFrame, nested: DataFrame, keys: list[str] = FILE_KEYS) -> DataFrame:

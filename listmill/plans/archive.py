@@ -6,10 +6,38 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listmill.operators import messages, rows
+from listmill.operators.manifest import split_nested
 from listmill.operators.projects import with_project
-from listmill.sources.archives import read_archives
+from listmill.scratch import shared_folder
+from listmill.sources.archives import NOT_PARSED, existing_files, read_archives
 from listmill.sources.tables import write_list_tables
 
+_FILE = ["proj_dir", "folder", "mbox"]
+
+
+def _rekeyed(nested: DataFrame) -> DataFrame:
+    """Mails or files below ``<project>-<folder>`` directories under their own keys."""
+    keyed = nested.drop("proj_dir").withColumnRenamed("folder", "nested_key")
+    return keyed.transform(split_nested).withColumnRenamed("project", "proj_dir")
+
+
+def read_with_nested(spark: SparkSession, root: str, nested_root: str) -> DataFrame:
+    """Mails of an archive tree and of nested directories; a nested file replaces its like.
+
+    The keys of the nested files come from the listing alone. They are written and read
+    back, so that Spark knows their size and the mails need no exchange for a short list.
+    """
+    listed = existing_files(spark, nested_root).select(
+        F.col("project").alias("proj_dir"), "folder", F.col("filename").alias("mbox")
+    )
+    path = shared_folder(spark, "nested-keys")
+    _rekeyed(listed).select(*_FILE).distinct().write.parquet(path)
+    replaced = spark.read.schema("proj_dir string, folder string, mbox string").parquet(path)
+    nested = _rekeyed(read_archives(spark, nested_root, excluded=[])).filter(
+        ~F.col("proj_dir").isin(NOT_PARSED)
+    )
+    return read_archives(spark, root).join(replaced, _FILE, "left_anti").unionByName(nested)
+
 
 def parse(
     mails: DataFrame, projects: DataFrame, strict: bool = False, with_content: bool = False
@@ -29,6 +57,7 @@ def run(
     target: str,
     strict: bool = False,
     with_content: bool = False,
+    nested_root: str | None = None,
 ) -> dict[str, int]:
     """Parse an archive tree once and write all tables under ``target``.
 
@@ -38,8 +67,9 @@ def run(
     """
     projects.write.mode("overwrite").parquet(f"{target}/projects")
     dimension = spark.read.schema(projects.schema).parquet(f"{target}/projects")
+    mails = read_with_nested(spark, root, nested_root) if nested_root else read_archives(spark, root)
     counts = Observation("parse")
-    parsed = parse(read_archives(spark, root), dimension, strict, with_content).observe(
+    parsed = parse(mails, dimension, strict, with_content).observe(
         counts,
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("reject_reason") == "bad_date").alias("ignored"),

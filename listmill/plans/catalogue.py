@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from listmill.operators import catalogue, manifest
 from listmill.sources import manifest as manifest_io
-from listmill.sources.archives import path_key
+from listmill.sources.archives import existing_files
 from listmill.sources.saved_pages import read_pages
 
 
@@ -24,15 +23,5 @@ def build_manifest(
     return manifest_io.read_manifest(spark, target)
 
 
-def existing_files(spark: SparkSession, root: str) -> DataFrame:
-    """Keys of the files of an archive tree; the listing alone, no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(
-        path_key(F.col("path"), 1).alias("project"),
-        path_key(F.col("path"), 2).alias("folder"),
-        path_key(F.col("path"), 3).alias("filename"),
-    )
-
-
 def pending_archives(spark: SparkSession, manifest_path: str, root: str) -> DataFrame:
     return manifest.pending(manifest_io.read_manifest(spark, manifest_path), existing_files(spark, root))

@@ -14,13 +14,18 @@ _ID = ["proj_dir", "message_id"]
 
 
 def ingest(
-    spark: SparkSession, root: str, target: str, parse: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    root: str,
+    target: str,
+    parse: Callable[[DataFrame], DataFrame],
+    files_per_batch: int | None = None,
 ) -> None:
     """Parse the files that are new under ``root`` and append what was not seen before.
 
     The stream's checkpoint remembers the files. Each batch writes its own folder and is
     compared with the folders of earlier batches only, so a batch that is run again after
-    a failure replaces what it wrote. Mail dates cannot be trusted, so there is no
+    a failure replaces what it wrote. ``files_per_batch`` cuts a long backlog into batches
+    that are kept one by one. Mail dates cannot be trusted, so there is no
     watermark; the ids stay in files and not in operator state.
     """
     def write_batch(records: DataFrame, batch_id: int) -> None:
@@ -31,8 +36,11 @@ def ingest(
             fresh = fresh.join(seen, _ID, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
 
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     query = (
-        scan_records(spark.readStream, root, NOT_PARSED)
+        scan_records(reader, root, NOT_PARSED)
         .writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", f"{target}/checkpoint")
         .trigger(availableNow=True)
@@ -41,9 +49,15 @@ def ingest(
     query.awaitTermination()
 
 
-def ingest_messages(spark: SparkSession, root: str, target: str, strict: bool = False) -> None:
+def ingest_messages(
+    spark: SparkSession,
+    root: str,
+    target: str,
+    strict: bool = False,
+    files_per_batch: int | None = None,
+) -> None:
     """Incremental form of the parse step."""
-    ingest(spark, root, target, lambda mails: messages.parse_mails(mails, strict))
+    ingest(spark, root, target, lambda mails: messages.parse_mails(mails, strict), files_per_batch)
 
 
 def ingest_ids(spark: SparkSession, root: str, target: str) -> None:

@@ -177,6 +177,30 @@ def test_whole_job_and_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "final/commits")).columns == COMMIT_EXPORT
 
 
+def test_nested_directories_replace_equal_files(spark, tmp_path):
+    write(tmp_path, "in/foo/dev/1.mbox", mbox(mail(Message_ID="<old>")))
+    write(tmp_path, "in/foo/dev/2.mbox", mbox(mail(Message_ID="<kept>")))
+    write(tmp_path, "in/incubator/foo-dev/1.mbox", mbox(mail(Message_ID="<new>")))
+    write(tmp_path, "in/incubator/a-b-dev/1.mbox", mbox(mail(Message_ID="<other>")))
+    write(tmp_path, "in/incubator/general/1.mbox", mbox(mail(Message_ID="<none>")))
+    mails = archive.read_with_nested(spark, str(tmp_path / "in"), str(tmp_path / "in/incubator"))
+    assert "BroadcastHashJoin" in mails._jdf.queryExecution().executedPlan().toString()
+    rows = archive.parse(mails, no_projects(spark)).collect()
+    assert {(r.proj_dir, r.folder, r.message_id) for r in rows} == {
+        ("foo", "dev", "<new>"), ("foo", "dev", "<kept>"), ("a-b", "dev", "<other>"),
+    }
+
+
+def test_excluded_directories_are_not_read(spark, tmp_path):
+    for directory in ("attic", "incubator", "foo"):
+        for month in range(5):
+            write(tmp_path, f"{directory}/dev/{month}.mbox", mbox(mail()))
+    frame = archives.read_archives(spark, str(tmp_path))
+    frame.collect()
+    scan = frame._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 5
+
+
 def test_csv_list_tables_keep_texts(spark, tmp_path):
     rows = spark.createDataFrame([("p", "f", 'a "q", \\ z', None), ("p", "f", "plain", 3)], "proj_name string, folder string, subject string, period int")
     tables.write_list_tables(rows, str(tmp_path / "t"), fmt="csv")

@@ -7,6 +7,7 @@ from listmill.plans import catalogue as plan
 from listmill.sources import manifest as manifest_io
 from listmill.sources import projects as projects_io
 from listmill.sources import tables
+from listmill.sources.archives import existing_files
 
 PROJECT_PAGE = """<html><body><table>
 <tr><th>Project</th><th>Description</th></tr>
@@ -87,7 +88,7 @@ def test_pending_archives_by_file_listing(spark, tmp_path):
     (tmp_path / "mbox/abc/dev/1.mbox").write_text("x")
     left = plan.pending_archives(spark, str(tmp_path / "manifest"), str(tmp_path / "mbox"))
     assert {(r.project, r.filename) for r in left.collect()} == {("abc", "2.mbox"), ("xyz", "1.mbox")}
-    counts = manifest.progress(manifest_io.read_manifest(spark, str(tmp_path / "manifest")), plan.existing_files(spark, str(tmp_path / "mbox")))
+    counts = manifest.progress(manifest_io.read_manifest(spark, str(tmp_path / "manifest")), existing_files(spark, str(tmp_path / "mbox")))
     assert [tuple(r) for r in counts.collect()] == [(3, 1, 2)]
 
 
