@@ -69,11 +69,6 @@ def header_text(lines: Column, name: str) -> Column:
     return F.regexp_replace(value, r"^:[ \t]*", "")
 
 
-def has_value(lines: Column, name: str) -> Column:
-    """Whether the first field called ``name`` is there and not empty."""
-    return F.rlike(lines, F.lit(rf"(?i)\A(?:(?!{name}:)[^\n]*\n)*+{name}:[ \t]*[^ \t\n]"))
-
-
 def has_header_prefix(lines: Column, prefix: str) -> Column:
     return F.rlike(lines, F.lit(rf"(?imd)^{prefix}"))
 

@@ -19,10 +19,13 @@ def with_headers(mails: DataFrame) -> DataFrame:
 
 
 def with_message_id(mails: DataFrame) -> DataFrame:
-    """Mails that have a Message-ID; a record without one is the tail of another mail."""
-    return mails.filter(text.has_value(F.col("lines"), "message-id")).withColumn(
-        "message_id", text.header(F.col("lines"), "message-id")
-    )
+    """Mails that have a Message-ID; a record without one is the tail of another mail.
+
+    The id is exploded out of an array that holds it only when it is not empty. A filter
+    would be pushed below the columns it reads and repeat the work on every header.
+    """
+    found = F.array(text.header_text(F.col("lines"), "message-id"))
+    return mails.select("*", F.explode(F.filter(found, lambda i: i != "")).alias("message_id"))
 
 
 def with_body(mails: DataFrame) -> DataFrame:
