@@ -20,9 +20,16 @@ _PARTITIONED = r"/project=([^/]+)/folder=([^/]+)/mbox=([^/]+)/[^/]+$"
 
 
 def path_key(path: Column, part: int) -> Column:
-    """Part 1, 2 or 3 of a file's path: project, folder, mbox."""
+    """Part 1, 2 or 3 of an encoded file path: project, folder, mbox.
+
+    The names of partition folders are escaped once more than those of plain ones.
+    """
     found = F.regexp_extract(path, _PARTITIONED, part)
-    name = F.when(found != "", found).otherwise(F.regexp_extract(path, _PLAIN, part))
+    plain = F.regexp_extract(path, _PLAIN, part)
+    return F.when(found != "", _decoded(_decoded(found))).otherwise(_decoded(plain))
+
+
+def _decoded(name: Column) -> Column:
     return F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
@@ -80,10 +87,11 @@ def read_archives(spark: SparkSession, root: str, excluded: list[str] = NOT_PARS
 def existing_files(spark: SparkSession, root: str) -> DataFrame:
     """Keys of the files of an archive tree; the listing alone, no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.col("_metadata.file_path")
     return files.select(
-        path_key(F.col("path"), 1).alias("project"),
-        path_key(F.col("path"), 2).alias("folder"),
-        path_key(F.col("path"), 3).alias("filename"),
+        path_key(path, 1).alias("project"),
+        path_key(path, 2).alias("folder"),
+        path_key(path, 3).alias("filename"),
     )
 
 

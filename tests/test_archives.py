@@ -191,6 +191,29 @@ def test_nested_directories_replace_equal_files(spark, tmp_path):
     }
 
 
+def test_odd_file_names_survive_both_layouts(spark, tmp_path):
+    keys = {("c++ lib", "a:b", "100%.mbox"), ("x=y", "dev", "1+1%20.mbox")}
+    for key in keys:
+        write(tmp_path, "in/" + "/".join(key), mbox(mail()))
+    read = lambda root: {(r.proj_dir, r.folder, r.mbox) for r in archives.read_archives(spark, str(tmp_path / root)).collect()}
+    listed = archives.existing_files(spark, str(tmp_path / "in")).collect()
+    archives.clean_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert read("in") == read("out") == {tuple(r) for r in listed} == keys
+
+
+def test_one_id_with_a_third_of_all_mails(spark):
+    from helpers import mails
+
+    base = mails(spark, mail("x")).drop("raw", "seq")
+    rows = base.crossJoin(spark.range(0, 3000, 1, 8).withColumnRenamed("id", "seq")).withColumn(
+        "raw",
+        F.concat(F.lit("Message-ID: <"), F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("seq")), F.lit(">\n"),
+                 F.lit("From: a@h\nDate: Mon, 3 Feb 2003 10:00:00 +0000\n\nbody")),
+    )
+    kept = archive.parse(rows, no_projects(spark)).select("message_id", "seq").collect()
+    assert len(kept) == 2001 and ("<0>", 0) in {tuple(r) for r in kept}
+
+
 def test_excluded_directories_are_not_read(spark, tmp_path):
     for directory in ("attic", "incubator", "foo"):
         for month in range(5):
