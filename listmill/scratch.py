@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder that every executor can reach.
@@ -16,8 +15,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
     local tests, a temporary folder of this machine is used.
     """
-    root = spark.conf.get(_SETTING, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="listmill-")
-        spark.conf.set(_SETTING, root)
+    root = spark.conf.get("spark.checkpoint.dir", "") or _local_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="listmill-")

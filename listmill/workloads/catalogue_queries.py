@@ -113,6 +113,10 @@ def label_fill(spark: SparkSession, sf: str) -> DataFrame:
     return manifest_io.read_manifest(spark, target)
 
 
+def _list_of(number: Column) -> Column:
+    return F.when(number % 2 == 0, "dev").otherwise("commits")
+
+
 def _manifest_and_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A manifest of orders, through text, and the files of returned line items."""
     path = shared_folder(spark, "manifest")
@@ -120,7 +124,7 @@ def _manifest_and_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
     manifest_io.write_manifest(
         table(spark, sf, "orders").select(
             words("c", F.col("o_custkey") % 100).alias("project"),
-            F.lit("dev").alias("folder"),
+            _list_of(F.col("o_custkey")).alias("folder"),
             words("http://h/a,b/", order, ".mbox").alias("url"),
         ),
         path,
@@ -129,7 +133,7 @@ def _manifest_and_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
     customers = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     files = returned.join(customers, F.col("l_orderkey") == F.col("o_orderkey")).select(
         words("c", F.col("o_custkey") % 100).alias("project"),
-        F.lit("dev").alias("folder"),
+        _list_of(F.col("o_custkey")).alias("folder"),
         words(F.col("l_orderkey"), ".mbox").alias("filename"),
     )
     return manifest_io.read_manifest(spark, path), files
@@ -147,12 +151,12 @@ def rekey_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     part, supp = F.col("p_partkey"), F.col("s_suppkey")
     base = table(spark, sf, "part").select(
         words("p-", part % 50).alias("project"),
-        F.lit("dev").alias("folder"),
+        _list_of(part).alias("folder"),
         words(part, ".mbox").alias("filename"),
         words("base ", part).alias("content"),
     )
     nested = table(spark, sf, "supplier").select(
-        F.when(supp % 7 == 0, words("plain", supp)).otherwise(words("p-", supp % 50, "-dev")).alias("nested_key"),
+        F.when(supp % 7 == 0, words("plain", supp)).otherwise(words("p-", supp * 3 % 50, "-", _list_of(supp))).alias("nested_key"),
         words(supp * 3, ".mbox").alias("filename"),
         F.when(supp % 5 == 0, "").otherwise(words("nested ", supp)).alias("content"),
     )
@@ -172,7 +176,7 @@ QUERIES = {
 
 _SPECIAL = ", ".join(f"'{i}'" for i in pages.PROJECT_IDS.values())
 _PENDING = """
-  SELECT 'c' || (o_custkey % 100) AS project, 'dev' AS folder, 'http://h/a,b/' || o_orderkey || '.mbox' AS url,
+  SELECT 'c' || (o_custkey % 100) AS project, CASE WHEN o_custkey % 2 = 0 THEN 'dev' ELSE 'commits' END AS folder, 'http://h/a,b/' || o_orderkey || '.mbox' AS url,
          o_orderkey || '.mbox' AS filename
   FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)
 """
@@ -213,11 +217,15 @@ ORACLES = {
                (SELECT count(*) FROM ({_PENDING})) AS remaining""",
     "rekey_overwrite": """
         WITH nested AS (
-          SELECT 'p-' || (s_suppkey % 50) AS project, 'dev' AS folder, (s_suppkey * 3) || '.mbox' AS filename,
-                 'nested ' || s_suppkey AS content
-          FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0)
-        SELECT project, folder, filename, content FROM nested
+          SELECT 'p-' || (s_suppkey * 3 % 50) AS project,
+                 CASE WHEN s_suppkey % 2 = 0 THEN 'dev' ELSE 'commits' END AS folder,
+                 (s_suppkey * 3) || '.mbox' AS filename, 'nested ' || s_suppkey AS content
+          FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0),
+        base AS (
+          SELECT 'p-' || (p_partkey % 50) AS project,
+                 CASE WHEN p_partkey % 2 = 0 THEN 'dev' ELSE 'commits' END AS folder,
+                 p_partkey || '.mbox' AS filename, 'base ' || p_partkey AS content FROM part)
+        SELECT * FROM nested
         UNION ALL
-        SELECT 'p-' || (p_partkey % 50), 'dev', p_partkey || '.mbox', 'base ' || p_partkey FROM part
-        WHERE ('p-' || (p_partkey % 50), p_partkey || '.mbox') NOT IN (SELECT project, filename FROM nested)""",
+        SELECT * FROM base WHERE (project, folder, filename) NOT IN (SELECT project, folder, filename FROM nested)""",
 }

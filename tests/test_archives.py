@@ -5,7 +5,8 @@ from helpers import mail, no_projects
 from pyspark.sql import functions as F
 
 from listmill.functions import text
-from listmill.operators import messages
+from listmill.operators import messages, rows
+from listmill.operators.projects import with_project
 from listmill.plans import archive, export
 from listmill.schemas import COMMIT_EXPORT, COMMITS, EMAIL_EXPORT, MESSAGES, names
 from listmill.sources import archives, tables
@@ -77,7 +78,7 @@ def parsed(spark, *raws, **options):
 
 
 def test_reasons_and_order_of_the_checks(spark):
-    rows = parsed(
+    found = parsed(
         spark,
         mail(Message_ID=None),
         mail(Message_ID=""),
@@ -89,11 +90,11 @@ def test_reasons_and_order_of_the_checks(spark):
         mail("<p>", Message_ID="<html>", Content_Type="text/html"),
         mail(Message_ID="<good>"),
     ).collect()
-    assert {r.message_id: r.reject_reason for r in rows} == {
+    assert {r.message_id: r.reject_reason for r in found} == {
         "<empty>": "empty_body", "<nodate>": "bad_date", "<gmt>": "bad_date",
         "<nobody>": "unclassified", "<html>": "empty_body", "<good>": None,
     }
-    assert len(rows) == 6
+    assert len(found) == 6
 
 
 def test_foreign_mailers(spark):
@@ -249,9 +250,11 @@ def test_incremental_runs_equal_one_run(spark, tmp_path):
         if raws:
             write(tmp_path, f"in/proj/dev/{n}.mbox", mbox(*raws))
             write(tmp_path, f"in/attic/dev/{n}.mbox", mbox(*raws))
-        incremental.ingest_messages(spark, root, target)
+        incremental.ingest_messages(spark, root, target, files_per_batch=1)
         sizes.append(incremental.stored(spark, target).count())
     assert sizes == [10, 15, 15]
+    mailed = rows.email_rows(incremental.stored(spark, target).transform(with_project, no_projects(spark)))
+    assert mailed.count() == 15
     once = messages.first_copies(messages.parse_mails(archives.read_archives(spark, root)))
     key = ["proj_dir", "message_id", "mbox", "subject", "message_date", "msg_format"]
     assert set(incremental.stored(spark, target).select(key).collect()) == set(once.select(key).collect())
