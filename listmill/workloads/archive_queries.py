@@ -96,11 +96,6 @@ def ascii_clean(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _branches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    parsed = _parsed(spark, sf)
-    return rows.commit_rows(parsed), rows.email_rows(parsed)
-
-
 def commits_union(spark: SparkSession, sf: str) -> DataFrame:
     """SVN and Git branches into per-list tables, read back together with nine columns."""
     every = commits(spark, sf)
