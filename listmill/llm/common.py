@@ -6,6 +6,10 @@ an input table may have any name.
 
 from __future__ import annotations
 
+import json
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,11 @@ BLANK_TEXT = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship_with_jobs(module: str) -> None:
+    """Tasks get a module's functions with the job; executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def text_of(column: str) -> Column:
     """The text; a null one is empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -68,8 +77,6 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Rows made on the driver (few, such as one per input partition) as a table."""
-    import json
-
     parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
     return spark.range(1).select(F.inline(parsed))
 
