@@ -7,15 +7,30 @@ the shared folder and read again, so a lost executor costs one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listmill.llm import common, mixing, quality, sharding
+from listmill.llm import common, decontaminate, mixing, neardup, quality, sharding
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, with failing lines removed from nothing: texts stay whole."""
+    """Documents that pass the rules; their texts stay whole."""
     return quality.clean(docs).where("kept").select(*docs.columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates.
+
+    Rows that share the kept id all stay, and so do rows without an id.
+    """
+    kept = neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_lm_gone")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_lm_gone"), "left_anti")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in order of finish time; a document that is taken twice is there twice."""
     return mixing.in_order(mixing.mix(docs), docs.columns)
@@ -28,6 +43,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
     ("mixing", mixing_weights),
     ("sharding", shards),
 ]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listmill.llm import lines, mixing, neardup, pii, quality, sharding, tokens
+from listmill.llm import decontaminate, lines, mixing, neardup, pii, quality, sharding, tokens
 
 QUERIES = {
     "op2_hypergeometric_shards": sharding.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash_components": neardup.query,
     "op5_line_dedup": lines.query,
     "op6_line_first_cleaning": quality.query,
+    "op7_spaced_seeds": decontaminate.query,
     "op9_whole_token_counts": tokens.query,
     "op10_fair_queueing": mixing.query,
     "pipeline": corpus_pipeline.run,
