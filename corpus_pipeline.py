@@ -14,7 +14,7 @@ from listmill.llm import common, decontaminate, mixing, neardup, quality, shardi
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules; their texts stay whole."""
-    return quality.clean(docs).where("kept").select(*docs.columns)
+    return quality.kept_rows(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,8 +77,8 @@ def _overlap(hits: DataFrame) -> DataFrame:
     sums = F.transform(
         F.sequence(F.lit(1), F.col("_lm_high") - F.col("_lm_low") + 1),
         lambda k: F.aggregate(F.slice("_lm_same", k, F.col("_lm_window")), F.lit(0), lambda s, x: s + x))
-    return hits.withColumn("_lm_equal", F.array_max(sums)).where(
-        F.col("_lm_equal") >= F.col("_lm_window") - allowed(F.col("_lm_window")))
+    # A second use of ``_lm_same`` keeps it a column; else each sum would make it anew.
+    return hits.withColumn("_lm_equal", F.when(F.size("_lm_same") > 0, F.array_max(sums)))
 
 
 def overlaps(
@@ -115,7 +115,8 @@ def overlaps(
         found = written(found.drop("_lm_seed").distinct(), "hits")
         hits = found.join(texts, doc_keys).join(items, "_lm_item_key")
     best = _overlap(hits).groupBy("_lm_id", "_lm_text", "_lm_null", "_lm_item").agg(
-        F.max("_lm_window").alias("window"), F.max("_lm_equal").alias("equal"))
+        F.max("_lm_window").alias("window"), F.max("_lm_equal").alias("equal"),
+    ).where(F.col("equal") >= F.col("window") - allowed(F.col("window")))
     return best.select(
         "_lm_id", "_lm_text", F.when(~F.col("_lm_null"), F.col("_lm_id")).alias(id_col),
         F.col("_lm_item").alias(item_col), "window", "equal")

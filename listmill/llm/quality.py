@@ -113,6 +113,15 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return step.drop("_lm_text", "_lm_cleaned", "_lm_left", "_lm_at")
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of the documents that are kept, as they are."""
+    columns = {f"_lm_c{i}": F.col(c) for i, c in enumerate(docs.columns)}
+    judged = clean(docs.withColumns(columns), text_col).select(*columns, "kept", F.monotonically_increasing_id().alias("_lm_row"))
+    # The row number keeps the optimizer from moving the filter below the projections of
+    # the verdict, where it would compute all of them again inside each other.
+    return judged.where("kept AND _lm_row >= 0").select(*[F.col(k).alias(c) for k, c in zip(columns, docs.columns)])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
