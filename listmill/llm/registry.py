@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listmill.llm import decontaminate, lines, mixing, neardup, pii, quality, sharding, tokens
+from listmill.llm import decontaminate, fixity, lines, mixing, neardup, pii, quality, sharding, tokens
 
 QUERIES = {
+    "op1_merkle_fixity": fixity.query,
     "op2_hypergeometric_shards": sharding.query,
     "op3_bootstrapped_pii": pii.query,
     "op4_minhash_components": neardup.query,
@@ -18,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_merkle_fixity": fixity.SQL,
     "op5_line_dedup": lines.SQL,
 }
