@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listmill.llm import decontaminate, fixity, lines, mixing, neardup, pii, quality, sharding, tokens
+from listmill.llm import decontaminate, fixity, lines, mixing, neardup, pii, quality, quotes, sharding, tokens
 
 QUERIES = {
     "op1_merkle_fixity": fixity.query,
@@ -13,12 +13,14 @@ QUERIES = {
     "op5_line_dedup": lines.query,
     "op6_line_first_cleaning": quality.query,
     "op7_spaced_seeds": decontaminate.query,
+    "op8_quotation_links": quotes.query,
     "op9_whole_token_counts": tokens.query,
     "op10_fair_queueing": mixing.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op8_quotation_links": quotes.SQL,
     "op1_merkle_fixity": fixity.SQL,
     "op5_line_dedup": lines.SQL,
 }
