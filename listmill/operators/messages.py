@@ -65,12 +65,12 @@ def with_fields(mails: DataFrame) -> DataFrame:
 
 
 def with_class(mails: DataFrame) -> DataFrame:
-    """Class by headers and subject, before the changes are known."""
+    """Class by headers alone, and by subject before headers; the changes are not known yet."""
     return mails.withColumn(
-        "raw_class",
-        classify.message_class(
-            F.col("subject"), F.col("x_mailer"), F.col("has_git_header"), F.col("sender")
-        ),
+        "header_class",
+        classify.class_from_headers(F.col("x_mailer"), F.col("has_git_header"), F.col("sender")),
+    ).withColumn(
+        "raw_class", F.coalesce(classify.class_from_subject(F.col("subject")), F.col("header_class"))
     )
 
 
@@ -78,7 +78,7 @@ def with_changes(mails: DataFrame, strict: bool = False) -> DataFrame:
     """File changes and the final class.
 
     ``strict`` leaves a mail with a foreign mailer in the SVN class although it holds no
-    change, so that it shows up nowhere.
+    change, so that it is rejected.
     """
     parsed = mails.withColumn(
         "changes",
@@ -92,14 +92,18 @@ def with_changes(mails: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def with_people(mails: DataFrame) -> DataFrame:
-    """Author and committer; the author of a plain mail is its sender."""
+    """Author and committer; the author of a plain mail is its sender.
+
+    The class by headers decides where names come from, whatever the subject makes of the
+    mail later. Without such a class there are no names.
+    """
     name, address, raw = F.col("sender_name"), F.col("sender_address"), F.col("raw")
-    kind = F.col("msg_format")
+    kind = F.col("header_class")
     return mails.withColumn(
         "author",
         F.when(kind == "SVN", people.svn_author(name, address, raw))
         .when(kind == "Git", people.git_author(raw))
-        .otherwise(people.email_sender(name, address)),
+        .when(kind == "EMAIL", people.email_sender(name, address)),
     ).withColumn(
         "committer",
         F.when(kind == "Git", people.git_committer(F.col("author"), address, raw))
@@ -108,11 +112,16 @@ def with_people(mails: DataFrame) -> DataFrame:
 
 
 def with_reason(mails: DataFrame) -> DataFrame:
-    """Why a mail goes to neither table; null where it goes to one."""
+    """Why a mail goes to neither table; null where it goes to one.
+
+    A notice without a file change has no row among the commits: ``no_changes``.
+    """
+    no_changes = F.col("msg_format").isin("SVN", "Git") & (F.coalesce(F.size("changes"), F.lit(0)) == 0)
     reason = (
         F.when(F.coalesce(F.length("body"), F.lit(0)) == 0, "empty_body")
         .when(F.col("message_date").isNull(), "bad_date")
         .when(F.col("msg_format").isNull(), "unclassified")
+        .when(no_changes, "no_changes")
     )
     return mails.withColumn("reject_reason", reason)
 

@@ -87,6 +87,10 @@ def archive_of(documents: DataFrame) -> DataFrame:
     kind = (
         F.when(doc_id() % 43 == 0, "none")
         .when(doc_id() % 47 == 0, "client")
+        .when(doc_id() % 53 == 0, "svn reply")
+        .when(doc_id() % 59 == 0, "git reply")
+        .when(doc_id() % 61 == 0, "svn bare")
+        .when(doc_id() % 67 == 0, "git empty")
         .when(doc_id() % 4 == 0, "svn")
         .when(doc_id() % 4 == 1, "git")
         .when(doc_id() % 4 == 2, "mail")
@@ -114,7 +118,8 @@ def archive_of(documents: DataFrame) -> DataFrame:
     kind, who, path = F.col("kind"), F.col("who"), words(F.col("source"), "/f", doc_id())
     address = words("dev", who, "@x.org")
     subject = (
-        F.when(kind == "svn subject", words("svn commit: r", doc_id()))
+        F.when(kind.isin("svn subject", "svn bare"), words("svn commit: r", doc_id()))
+        .when(kind.isin("svn reply", "git reply"), words("Re: reply ", doc_id()))
         .when(kind == "svn", words("r", doc_id(), " - trunk"))
         .when(kind == "git", words("git commit: ", doc_id()))
         .when((kind == "mail") & (doc_id() % 8 == 2), words("Re: topic ", doc_id()))
@@ -134,20 +139,21 @@ def archive_of(documents: DataFrame) -> DataFrame:
     )
     body = (
         F.when(doc_id() % 37 == 0, "")
-        .when(kind.isin("svn", "svn subject"), svn_notice(path, F.col("text")))
+        .when(kind.isin("svn", "svn subject", "svn bare", "svn reply"), svn_notice(path, F.col("text")))
+        .when(kind == "git reply", words("Author: G", who, " <g", who, "@x.org>\n", F.col("text")))
         .when(kind == "git", git)
         .otherwise(F.col("text"))
     )
     raw = mail(
         line("Message-Id", F.col("message_id")),
-        line("From", F.when(kind != "none", F.when(doc_id() % 13 == 0, address).otherwise(words("Dev ", who, " <", address, ">")))),
+        line("From", F.when(~kind.isin("none", "svn bare"), F.when((doc_id() % 13 == 0) | (kind == "svn reply"), address).otherwise(words("Dev ", who, " <", address, ">")))),
         line("To", F.lit("dev@x.org")),
         line("CC", F.when(doc_id() % 6 == 2, "all@x.org")),
         line("Subject", subject),
         line("Date", words(F.col("moment"), F.when(doc_id() % 41 == 0, "GMT").otherwise("+0200 (CEST)"))),
         line("In-Reply-To", F.when(doc_id() % 4 == 2, words("<", doc_id() - 4, "@h>"))),
-        line("X-Mailer", F.when(kind == "svn", "svnmailer-1.0").when(kind == "client", "Outlook")),
-        line("X-Git-Rev", F.when(kind == "git", words("abc", doc_id()))),
+        line("X-Mailer", F.when(kind.isin("svn", "svn reply"), "svnmailer-1.0").when(kind == "client", "Outlook")),
+        line("X-Git-Rev", F.when(kind.isin("git", "git reply", "git empty"), words("abc", doc_id()))),
         line("Content-Type", F.lit("text/plain; charset=utf-8")),
         body=body,
     )
@@ -190,6 +196,8 @@ facts AS (
                 WHEN doc_id % 10 = 5 AND (doc_id // 200) % 2 = 1 THEN doc_id - 200
                 ELSE doc_id END || '@h>' AS message_id,
     CASE WHEN doc_id % 43 = 0 THEN 'none' WHEN doc_id % 47 = 0 THEN 'client'
+         WHEN doc_id % 53 = 0 THEN 'svn reply' WHEN doc_id % 59 = 0 THEN 'git reply'
+         WHEN doc_id % 61 = 0 THEN 'svn bare' WHEN doc_id % 67 = 0 THEN 'git empty'
          WHEN doc_id % 4 = 0 THEN 'svn' WHEN doc_id % 4 = 1 THEN 'git'
          WHEN doc_id % 4 = 2 THEN 'mail' ELSE 'svn subject' END AS kind,
     DATE '2018-01-01' + (doc_id % 1500)::INT AS day,
@@ -213,7 +221,7 @@ firsts AS (
   SELECT c.*, coalesce(known_status, 'incubating') AS status,
     trunc((day - end_date) / 30.0)::INT AS period,
     strftime(day, '%a, %-d %b %Y') || ' 10:20:30 +0200' AS message_date,
-    doc_id % 37 <> 0 AND (kind IN ('svn', 'git', 'svn subject') OR n_clean > 0) AS has_body,
+    doc_id % 37 <> 0 AND (kind NOT IN ('mail', 'client', 'none', 'git empty') OR n_clean > 0) AS has_body,
     doc_id % 41 <> 0 AS has_date
   FROM copies c LEFT JOIN dim ON alias = proj_name
   WHERE copy_no = 1
@@ -222,13 +230,16 @@ commits AS (
   SELECT f.proj_name, f.mbox, f.folder, f.message_id, f.period, f.status, f.message_date,
     CASE WHEN kind = 'git' THEN CASE WHEN doc_id % 3 = 2 THEN '' ELSE doc_id::VARCHAR END END AS author_date,
     CASE WHEN kind = 'git' THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE doc_id::VARCHAR END END AS commit_date,
-    CASE WHEN kind <> 'git' THEN CASE WHEN doc_id % 13 = 0 THEN 'jdoe' ELSE 'Dev ' || who END
+    -- names follow the headers: only a mailer makes the Author line of an SVN notice count
+    CASE WHEN kind = 'svn bare' THEN NULL
+         WHEN kind <> 'git' THEN CASE WHEN doc_id % 13 <> 0 THEN 'Dev ' || who WHEN kind = 'svn' THEN 'jdoe' ELSE local_name END
          WHEN doc_id % 8 = 1 THEN 'G' || who END AS author_name,
-    CASE WHEN kind <> 'git' THEN local_name || '@x.org'
+    CASE WHEN kind = 'svn bare' THEN NULL WHEN kind <> 'git' THEN local_name || '@x.org'
          WHEN doc_id % 8 = 1 THEN 'g' || who || '@x.org' END AS author_email,
-    CASE WHEN kind <> 'git' THEN CASE WHEN doc_id % 13 = 0 THEN 'jdoe' ELSE 'Dev ' || who END
+    CASE WHEN kind = 'svn bare' THEN NULL
+         WHEN kind <> 'git' THEN CASE WHEN doc_id % 13 <> 0 THEN 'Dev ' || who WHEN kind = 'svn' THEN 'jdoe' ELSE local_name END
          WHEN doc_id % 8 = 1 THEN 'H' || who ELSE local_name END AS committer_name,
-    CASE WHEN kind <> 'git' THEN local_name || '@x.org'
+    CASE WHEN kind = 'svn bare' THEN NULL WHEN kind <> 'git' THEN local_name || '@x.org'
          WHEN doc_id % 8 = 1 THEN 'h' || who || '@x.org' ELSE local_name || '@x.org' END AS committer_email,
     CASE WHEN kind = 'git' THEN 'Git' ELSE 'SVN' END AS msg_format,
     CASE WHEN kind = 'git' THEN 'h/' ELSE '' END || source || '/f' || doc_id || suffix AS file_path,
@@ -238,17 +249,19 @@ commits AS (
     'ASF' AS source
   FROM firsts f, (VALUES ('', 'mod'), ('.new', 'add'), ('.copy', 'copy')) t(suffix, op)
   WHERE has_body AND has_date
-    AND (kind IN ('svn', 'svn subject') OR (kind = 'git' AND suffix = ''))
+    AND (kind IN ('svn', 'svn subject', 'svn bare') OR (kind = 'git' AND suffix = ''))
 ),
 emails AS (
   SELECT proj_name, mbox, folder, message_id, period, status,
     CASE WHEN doc_id % 4 = 2 THEN '<' || (doc_id - 4) || '@h>' END AS reference_id,
-    message_date, local_name || '@x.org' AS sender_email,
-    CASE WHEN doc_id % 13 = 0 THEN local_name ELSE 'Dev ' || who END AS sender_name,
+    message_date, CASE WHEN kind = 'git reply' THEN 'g' || who ELSE local_name END || '@x.org' AS sender_email,
+    CASE WHEN kind = 'svn reply' THEN 'jdoe' WHEN kind = 'git reply' THEN 'G' || who
+         WHEN doc_id % 13 = 0 THEN local_name ELSE 'Dev ' || who END AS sender_name,
     'dev@x.org' AS receiver_email,
     CASE WHEN doc_id % 6 = 2 THEN 'all@x.org' END AS cc_list,
-    CASE WHEN kind = 'mail' AND doc_id % 8 = 2 THEN 'Re: ' ELSE '' END || 'topic ' || doc_id AS subject,
+    CASE WHEN kind LIKE '% reply' THEN 'Re: reply ' WHEN kind = 'mail' AND doc_id % 8 = 2 THEN 'Re: topic '
+         ELSE 'topic ' END || doc_id AS subject,
     NULL::VARCHAR AS content, 'ASF' AS source
-  FROM firsts WHERE has_body AND has_date AND kind IN ('mail', 'client')
+  FROM firsts WHERE has_body AND has_date AND kind IN ('mail', 'client', 'svn reply', 'git reply')
 )
 """
