@@ -48,7 +48,7 @@ def _signed(lines: Column, sign: str) -> Column:
 
 def _change(path: Column, op: Column, added: Column, removed: Column) -> Column:
     return F.struct(
-        path.alias("file_path"), op.alias("file_op"), added.alias("addlines"), removed.alias("dellines")
+        F.replace(path, F.lit("\r"), F.lit("")).alias("file_path"), op.alias("file_op"), added.alias("addlines"), removed.alias("dellines")
     )
 
 

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listmill.schemas import names
 
-_CSV = {"header": True, "nullValue": "", "emptyValue": "", "escape": '"'}
+_CSV = {
+    "header": True, "nullValue": "", "emptyValue": "", "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+# A quoted field may hold line breaks of any kind, so readers parse files, not lines.
+_READ_CSV = _CSV | {"multiLine": True}
 
 
 def write_list_tables(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -35,7 +40,7 @@ def read_list_tables(
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**_CSV, enforceSchema=False)
+        reader = reader.options(**_READ_CSV, enforceSchema=False)
     return reader.format(fmt).load(path).select(*(columns or names(schema)))
 
 
@@ -45,7 +50,7 @@ def write_export(rows: DataFrame, path: str) -> None:
 
 
 def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+    return spark.read.schema(schema).options(**_READ_CSV).csv(path)
 
 
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:
