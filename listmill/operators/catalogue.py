@@ -89,15 +89,9 @@ def list_rows(saved: DataFrame) -> DataFrame:
 def manifest_rows(lists: DataFrame, index_pages: DataFrame) -> DataFrame:
     """One archive address per list and month.
 
-    ``index_pages(list_url, html)`` are the saved index pages of the lists.
+    ``index_pages(list_url, html)`` are the saved index pages of the lists. Their months are
+    read off before the join, so no page is exchanged.
     """
-    with_page = lists.join(index_pages.select("list_url", "html"), "list_url")
-    return with_page.transform(expand_months)
-
-
-def expand_months(lists: DataFrame) -> DataFrame:
-    """Lists with their index page ``html`` to one archive address per month."""
-    months = lists.select("project", "folder", "list_url", F.explode(pages.span_ids(F.col("html"))).alias("month"))
-    return months.select(
-        "project", "folder", F.concat("list_url", "month", F.lit(".mbox")).alias("url")
-    )
+    months = index_pages.select("list_url", pages.span_ids(F.col("html")).alias("months"))
+    joined = lists.join(months, "list_url").select("project", "folder", "list_url", F.explode("months").alias("month"))
+    return joined.select("project", "folder", F.concat("list_url", "month", F.lit(".mbox")).alias("url"))

@@ -6,37 +6,17 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listmill.operators import messages, rows
-from listmill.operators.manifest import split_nested
 from listmill.operators.projects import with_project
-from listmill.scratch import shared_folder
-from listmill.sources.archives import NOT_PARSED, existing_files, read_archives
+from listmill.sources.archives import NOT_PARSED, read_archives, records_to_mails, scan_with_nested
 from listmill.sources.tables import write_list_tables
 
-_FILE = ["proj_dir", "folder", "mbox"]
-
-
-def _rekeyed(nested: DataFrame) -> DataFrame:
-    """Mails or files below ``<project>-<folder>`` directories under their own keys."""
-    keyed = nested.drop("proj_dir").withColumnRenamed("folder", "nested_key")
-    return keyed.transform(split_nested).withColumnRenamed("project", "proj_dir")
-
 
 def read_with_nested(spark: SparkSession, root: str, nested_root: str) -> DataFrame:
     """Mails of an archive tree and of nested directories; a nested file replaces its like.
 
-    The keys of the nested files come from the listing alone. They are written and read
-    back, so that Spark knows their size and the mails need no exchange for a short list.
+    Decided per file, when files are listed: mails meet no join.
     """
-    listed = existing_files(spark, nested_root).select(
-        F.col("project").alias("proj_dir"), "folder", F.col("filename").alias("mbox")
-    )
-    path = shared_folder(spark, "nested-keys")
-    _rekeyed(listed).select(*_FILE).distinct().write.parquet(path)
-    replaced = spark.read.schema("proj_dir string, folder string, mbox string").parquet(path)
-    nested = _rekeyed(read_archives(spark, nested_root, excluded=[])).filter(
-        ~F.col("proj_dir").isin(NOT_PARSED)
-    )
-    return read_archives(spark, root).join(replaced, _FILE, "left_anti").unionByName(nested)
+    return records_to_mails(scan_with_nested(spark, root, nested_root, NOT_PARSED))
 
 
 def parse(
@@ -63,7 +43,8 @@ def run(
 
     The dimension is written and read back, so that Spark knows its size when it picks
     the join. The parsed messages are written next; the tables are cut from that narrow
-    copy. Returns the counts of the run.
+    copy. Returns the counts of the run: all messages, those in each table, and the rest by
+    reason; the parts add up to ``messages``.
     """
     projects.write.mode("overwrite").parquet(f"{target}/projects")
     dimension = spark.read.schema(projects.schema).parquet(f"{target}/projects")
@@ -75,6 +56,9 @@ def run(
         F.count_if(F.col("reject_reason") == "bad_date").alias("ignored"),
         F.count_if(F.col("reject_reason") == "unclassified").alias("unclassified"),
         F.count_if(F.col("reject_reason") == "empty_body").alias("empty"),
+        F.count_if(F.col("reject_reason") == "no_changes").alias("no_changes"),
+        F.count_if(F.col("reject_reason").isNull() & (F.col("msg_format") != "EMAIL")).alias("notices"),
+        F.count_if(F.col("reject_reason").isNull() & (F.col("msg_format") == "EMAIL")).alias("emails"),
     )
     parsed.write.mode("overwrite").parquet(f"{target}/parsed")
     stored = spark.read.schema(parsed.schema).parquet(f"{target}/parsed")

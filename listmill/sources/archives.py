@@ -37,23 +37,39 @@ def keep_projects(files: DataFrame, excluded: list[str], directory: str = "proj_
     return files.filter(~F.col(directory).isin(excluded))
 
 
-def scan_records(reader, root: str, excluded: list[str]) -> DataFrame:
+def nested_key(path: Column, part: int) -> Column:
+    """Key part of a file below a nested directory ``<project>-<folder>``; the last hyphen parts.
+
+    '' for the project where the directory's name has no hyphen.
+    """
+    if part == 3:
+        return path_key(path, 3)
+    return F.regexp_extract(path_key(path, 2), "^(.*)-([^-]*)$", part)
+
+
+def scan_records(reader, root: str, excluded: list[str], key=path_key, replaced: list[str] | None = None) -> DataFrame:
     """One row per record of every file under ``root``.
 
+    ``key`` reads project, folder and mbox off a path; files without a project are left out.
+    ``replaced`` names files, as ``project/folder/mbox``, that are left out as well.
+
     ``reader`` is ``spark.read`` or ``spark.readStream``. Files are split like any text
     file. The directory filter reads file metadata only, so excluded files are dropped
     when files are listed. ``value`` keeps the rest of the envelope line first.
     """
     path = F.col("_metadata.file_path")
+    keep = ~key(path, 1).isin(["", *excluded])
+    if replaced:
+        keep &= ~F.concat_ws("/", key(path, 1), key(path, 2), key(path, 3)).isin(replaced)
     return (
         reader.option("recursiveFileLookup", True)
         .option("lineSep", RECORD_BREAK)
         .text(root)
-        .filter(~path_key(path, 1).isin(excluded))
+        .filter(keep)
         .select(
-            path_key(path, 1).alias("proj_dir"),
-            path_key(path, 2).alias("folder"),
-            path_key(path, 3).alias("mbox"),
+            key(path, 1).alias("proj_dir"),
+            key(path, 2).alias("folder"),
+            key(path, 3).alias("mbox"),
             path.alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             "value",
@@ -84,6 +100,29 @@ def read_archives(spark: SparkSession, root: str, excluded: list[str] = NOT_PARS
     return records_to_mails(scan_records(spark.read, root, excluded))
 
 
+def nested_files(spark: SparkSession, nested_root: str, excluded: list[str]) -> list[str]:
+    """Files that nested directories bring, as ``project/folder/mbox``.
+
+    Names only, from a listing; the driver lists every file of a scan in any case.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(nested_root)
+    path = F.col("_metadata.file_path")
+    named = files.filter(~nested_key(path, 1).isin(["", *excluded])).select(
+        F.concat_ws("/", *[nested_key(path, part) for part in (1, 2, 3)]).alias("name"))
+    return sorted(row["name"] for row in named.distinct().collect())
+
+
+def scan_with_nested(spark: SparkSession, root: str, nested_root: str, excluded: list[str]) -> DataFrame:
+    """Records of a tree and of its nested directories; a nested file replaces its like.
+
+    Which files count is settled from their names when files are listed: replaced files,
+    nested directories without a hyphen and those of excluded projects are never read.
+    """
+    replaced = nested_files(spark, nested_root, excluded)
+    base = scan_records(spark.read, root, excluded, replaced=replaced)
+    return base.unionByName(scan_records(spark.read, nested_root, excluded, key=nested_key))
+
+
 def existing_files(spark: SparkSession, root: str) -> DataFrame:
     """Keys of the files of an archive tree; the listing alone, no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -110,12 +149,15 @@ def write_mbox(mails: DataFrame, root: str) -> None:
     )
 
 
-def clean_archives(spark: SparkSession, source: str, target: str) -> None:
-    """Copy an archive tree without the bytes above 0x7F.
+def clean_archives(spark: SparkSession, source: str, target: str, nested_root: str | None = None) -> None:
+    """Copy an archive tree without the bytes above 0x7F; nested directories under their own keys.
 
     No shuffle: a task writes what it reads. The sort keeps the order inside each file.
     """
-    records = scan_records(spark.read, source, NOT_CLEANED)
+    if nested_root:
+        records = scan_with_nested(spark, source, nested_root, NOT_CLEANED)
+    else:
+        records = scan_records(spark.read, source, NOT_CLEANED)
     (
         records.withColumn("seq", F.monotonically_increasing_id())
         .withColumn("value", strip_non_ascii(F.col("value")))

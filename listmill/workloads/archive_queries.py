@@ -117,15 +117,68 @@ def emails_union(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_export(spark, target, schema)
 
 
-def archive_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole job from files to tables: rows of each table per project."""
+def _run_on_files(spark: SparkSession, sf: str) -> tuple[str, dict[str, int]]:
+    """The whole job over an archive written as files: the tables' folder and the counts.
+
+    Bodies are escaped as mail writers do, so that no line of a text begins a mail.
+    """
     root, target = shared_folder(spark, "mbox"), shared_folder(spark, "tables")
     mails = archive_of(table(spark, sf, "documents"))
-    archives.write_mbox(mails.withColumn("value", words("x@h Mon\n", F.col("raw"), "\n")), root)
-    archive.run(spark, root, project_dimension(table(spark, sf, "nation")), target)
-    found = tables.read_list_tables(spark, f"{target}/commits", COMMITS, ["proj_name"]).withColumn("part", F.lit("commits"))
-    mailed = tables.read_list_tables(spark, f"{target}/messages", MESSAGES, ["proj_name"]).withColumn("part", F.lit("messages"))
-    return found.unionByName(mailed).groupBy("part", "proj_name").agg(F.count("*").alias("n"))
+    escaped = F.regexp_replace("raw", r"\nFrom ", "\n>From ")
+    archives.write_mbox(mails.withColumn("value", words("x@h Mon\n", escaped, "\n")), root)
+    return target, archive.run(spark, root, project_dimension(table(spark, sf, "nation")), target)
+
+
+def archive_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job from files to tables: every commit row and every mail, with their facts."""
+    target, _ = _run_on_files(spark, sf)
+    shared = ["proj_name", "mbox", "folder", "message_id", "period", "status", "message_date"]
+    found = tables.read_list_tables(spark, f"{target}/commits", COMMITS)
+    mailed = tables.read_list_tables(spark, f"{target}/messages", MESSAGES).filter("subject NOT LIKE 'r%'")
+    return found.select(
+        *shared, F.col("author_name").alias("who"), F.col("author_email").alias("address"),
+        F.concat_ws(" ", "file_op", "file_path").alias("what"), "addlines", "dellines",
+    ).unionByName(mailed.select(
+        *shared, F.col("sender_name").alias("who"), F.col("sender_email").alias("address"), F.col("subject").alias("what"),
+        F.lit(None).cast("int").alias("addlines"), F.lit(None).cast("int").alias("dellines")))
+
+
+def run_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message of a run is in one table or rejected for one reason: the counts by place."""
+    parsed = _parsed(spark, sf)
+    place = F.coalesce("reject_reason", F.when(F.col("msg_format") == "EMAIL", "emails").otherwise("notices"))
+    return parsed.groupBy(place.alias("place")).agg(F.count("*").alias("n")).unionByName(
+        parsed.groupBy(F.lit("messages").alias("place")).agg(F.count("*").alias("n")))
+
+
+def nested_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a tree and of nested directories that replace some of them (S11)."""
+    root = shared_folder(spark, "nested-tree")
+    value = words("x@h Mon\n", mail(line("Message-ID", words(doc_id())), body=F.lit("b")), "\n")
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("p"), F.when(doc_id() % 3 == 0, "dev").otherwise("commits").alias("f"),
+        words(doc_id() % 12, ".mbox").alias("mbox"), value.alias("value"))
+    nested = (doc_id() % 4 == 1) & (doc_id() % 12 < 6)
+    archives.write_mbox(rows.filter(~nested).withColumnsRenamed({"p": "proj_dir", "f": "folder"}), f"{root}/mbox")
+    archives.write_mbox(rows.filter(nested).select(
+        F.lit("incubator").alias("proj_dir"),
+        F.when(doc_id() % 5 == 0, "general").otherwise(words(F.col("p"), "-", F.col("f"))).alias("folder"), "mbox", "value"), f"{root}/nested")
+    mails = archive.read_with_nested(spark, f"{root}/mbox", f"{root}/nested")
+    found = mails.transform(messages.with_headers).transform(messages.with_message_id)
+    return found.select(F.col("message_id").cast("bigint").alias("doc_id"), "proj_dir", "folder", "mbox")
+
+
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with quotes, commas, backslashes and line breaks of all kinds through both CSV tables."""
+    marks = F.array(*[F.lit(m) for m in ("\r", "\n", "\r\n", '"', ",", "\\", '\\"', "a\rb", "\r\r", '",\r"')])
+    odd = words(F.col("source"), F.get(marks, (doc_id() % 10).cast("int")), F.substring("text", 1, 40), F.get(marks, (doc_id() % 7).cast("int")), "z")
+    texts = table(spark, sf, "documents").select(
+        F.col("source").alias("proj_name"), F.col("lang").alias("folder"), odd.alias("subject"), F.col("doc_id").alias("n"))
+    path, target = shared_folder(spark, "csv"), shared_folder(spark, "csv-export")
+    tables.write_list_tables(texts, path, fmt="csv")
+    back = tables.read_list_tables(spark, path, "subject string, n bigint, proj_name string, folder string", fmt="csv")
+    tables.write_export(back, target)
+    return tables.read_export(spark, target, "subject string, n bigint, proj_name string, folder string")
 
 
 def incremental_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,6 +235,9 @@ QUERIES = {
     "commits_union": commits_union,
     "emails_union": emails_union,
     "archive_run": archive_run,
+    "run_counts": run_counts,
+    "nested_archive": nested_archive,
+    "csv_round_trip": csv_round_trip,
     "incremental": incremental_ids,
     "dedup_first": dedup_first,
 }
@@ -195,9 +251,9 @@ ORACLES = {
     "reject_summary": f"""
         WITH {ARCHIVE_SQL}
         SELECT CASE WHEN NOT has_body THEN 'empty_body' WHEN NOT has_date THEN 'bad_date'
-                    WHEN kind = 'none' THEN 'unclassified' END AS reject_reason,
+                    WHEN kind = 'none' THEN 'unclassified' WHEN kind = 'git empty' THEN 'no_changes' END AS reject_reason,
                count(*) AS n
-        FROM firsts WHERE NOT has_body OR NOT has_date OR kind = 'none' GROUP BY 1""",
+        FROM firsts WHERE NOT has_body OR NOT has_date OR kind IN ('none', 'git empty') GROUP BY 1""",
     "mbox_scan": """
         SELECT source AS project, CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'commits' END AS folder,
                (doc_id % 12) || '.mbox' AS mbox, doc_id::VARCHAR AS message_id, 'd' || doc_id AS subject
@@ -212,15 +268,42 @@ ORACLES = {
         FROM (SELECT doc_id, {CLEAN_SQL} AS clean FROM documents)""",
     "commits_union": f"WITH {ARCHIVE_SQL} SELECT {_EXPORT} FROM commits",
     "emails_union": f"WITH {ARCHIVE_SQL} SELECT {_EMAIL_EXPORT} FROM emails",
+    # Bodies without a text are left out: the last mail of a file keeps one more line break.
     "archive_run": f"""
         WITH {ARCHIVE_SQL}
-        SELECT 'commits' AS part, proj_name, count(*) AS n FROM commits GROUP BY 2
+        SELECT proj_name, mbox, folder, message_id, period, status, message_date, author_name AS who,
+               author_email AS address, file_op || ' ' || file_path AS what, addlines, dellines FROM commits
         UNION ALL
-        -- in a file every body ends with a line break, so none is empty
-        SELECT 'messages', proj_name, count(*) FROM firsts
-        WHERE has_date AND ((kind IN ('mail', 'client') AND (doc_id % 37 = 0 OR NOT starts_with(text, 'From ')))
-                            OR (kind = 'svn' AND doc_id % 37 = 0))
-        GROUP BY 2""",
+        SELECT proj_name, mbox, folder, message_id, period, status, message_date,
+               CASE WHEN kind = 'svn reply' AND doc_id % 37 <> 0 THEN 'jdoe'
+                    WHEN kind = 'git reply' AND doc_id % 37 <> 0 THEN 'G' || who
+                    WHEN doc_id % 13 = 0 OR kind = 'svn reply' THEN local_name
+                    WHEN kind = 'git reply' THEN local_name ELSE 'Dev ' || who END,
+               CASE WHEN kind = 'git reply' AND doc_id % 37 <> 0 THEN 'g' || who ELSE local_name END || '@x.org',
+               CASE WHEN kind LIKE '% reply' THEN 'Re: reply ' WHEN kind = 'mail' AND doc_id % 8 = 2 THEN 'Re: topic '
+                    ELSE 'topic ' END || doc_id, NULL, NULL
+        FROM firsts WHERE has_date AND kind IN ('mail', 'client', 'svn reply', 'git reply')""",
+    "run_counts": f"""
+        WITH {ARCHIVE_SQL}
+        SELECT CASE WHEN NOT has_body THEN 'empty_body' WHEN NOT has_date THEN 'bad_date'
+                    WHEN kind = 'none' THEN 'unclassified' WHEN kind = 'git empty' THEN 'no_changes'
+                    WHEN kind IN ('mail', 'client', 'svn reply', 'git reply') THEN 'emails' ELSE 'notices' END AS place,
+               count(*) AS n FROM firsts GROUP BY 1
+        UNION ALL SELECT 'messages', count(*) FROM firsts""",
+    "nested_archive": """
+        WITH files AS (
+          SELECT doc_id, source AS proj_dir, CASE WHEN doc_id % 3 = 0 THEN 'dev' ELSE 'commits' END AS folder,
+                 (doc_id % 12) || '.mbox' AS mbox, doc_id % 4 = 1 AND doc_id % 12 < 6 AS nested, doc_id % 5 = 0 AS general
+          FROM documents)
+        SELECT doc_id, proj_dir, folder, mbox FROM files f
+        WHERE (nested AND NOT general) OR (NOT nested AND NOT EXISTS (
+          SELECT 1 FROM files n WHERE n.nested AND NOT n.general AND n.proj_dir = f.proj_dir
+            AND n.folder = f.folder AND n.mbox = f.mbox))""",
+    "csv_round_trip": r"""
+        WITH marks AS (SELECT [chr(13), chr(10), chr(13) || chr(10), '"', ',', '\', '\"', 'a' || chr(13) || 'b',
+                               chr(13) || chr(13), '",' || chr(13) || '"'] AS m)
+        SELECT source || m[doc_id % 10 + 1] || text[1:40] || m[doc_id % 7 + 1] || 'z' AS subject, doc_id AS n,
+               source AS proj_name, lang AS folder FROM documents, marks""",
     "incremental": """
         SELECT DISTINCT 'p' || ((doc_id // 50) % 20) AS proj_dir,
                '<' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END || '@h>' AS message_id

@@ -92,7 +92,7 @@ def table_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """List index pages: a label per supplier, two lists each, then the months."""
+    """List index pages: a label per supplier, two lists each, then the months of each list's page."""
     key = F.col("s_suppkey")
     piece = words(
         "<h3>x</h3><ul><li><a name=\"", F.col("s_name"), "\">label</a>: <a href='http://h/", key,
@@ -107,9 +107,9 @@ def label_fill(spark: SparkSession, sf: str) -> DataFrame:
     months = F.transform(
         F.sequence(F.lit(1), number), lambda m: words('<span class="s" id="20190', m, '">m</span>')
     )
-    with_index = lists.withColumn("html", F.array_join(months, "\n"))
+    index_pages = lists.select("list_url", F.array_join(months, "\n").alias("html"))
     target = shared_folder(spark, "manifest")
-    manifest_io.write_manifest(catalogue.expand_months(with_index), target)
+    manifest_io.write_manifest(catalogue.manifest_rows(lists, index_pages), target)
     return manifest_io.read_manifest(spark, target)
 
 
