@@ -161,7 +161,8 @@ def test_whole_job_and_exports(spark, tmp_path):
     out = str(tmp_path / "out")
     counts = archive.run(spark, str(tmp_path / "in"), projects, out)
     # The last mail of a file keeps the line break in front of the end of the file.
-    assert counts == {"messages": 5, "ignored": 1, "unclassified": 0, "empty": 0}
+    assert counts == {
+        "messages": 5, "ignored": 1, "unclassified": 0, "empty": 0, "no_changes": 0, "notices": 1, "emails": 3}
     commits = tables.read_list_tables(spark, f"{out}/commits", COMMITS).collect()
     assert [(r.proj_name, r.folder, r.message_id, r.period, r.status, r.file_path, r.addlines) for r in commits] == [
         ("foo", "commits", "<s>", 1, "graduated", "x", 1)
@@ -185,7 +186,11 @@ def test_nested_directories_replace_equal_files(spark, tmp_path):
     write(tmp_path, "in/incubator/a-b-dev/1.mbox", mbox(mail(Message_ID="<other>")))
     write(tmp_path, "in/incubator/general/1.mbox", mbox(mail(Message_ID="<none>")))
     mails = archive.read_with_nested(spark, str(tmp_path / "in"), str(tmp_path / "in/incubator"))
-    assert "BroadcastHashJoin" in mails._jdf.queryExecution().executedPlan().toString()
+    mails.collect()
+    plan = mails._jdf.queryExecution().executedPlan()
+    assert "Join" not in plan.toString()
+    leaves = plan.collectLeaves()
+    assert [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())] == [1, 2]
     rows = archive.parse(mails, no_projects(spark)).collect()
     assert {(r.proj_dir, r.folder, r.message_id) for r in rows} == {
         ("foo", "dev", "<new>"), ("foo", "dev", "<kept>"), ("a-b", "dev", "<other>"),
@@ -258,3 +263,68 @@ def test_incremental_runs_equal_one_run(spark, tmp_path):
     once = messages.first_copies(messages.parse_mails(archives.read_archives(spark, root)))
     key = ["proj_dir", "message_id", "mbox", "subject", "message_date", "msg_format"]
     assert set(incremental.stored(spark, target).select(key).collect()) == set(once.select(key).collect())
+
+
+def test_names_follow_the_class_by_headers(spark):
+    """Whatever the subject makes of a mail, its names come from where its headers say."""
+    from helpers import SVN_BODY, mails
+
+    jane = "Author: Jane Doe <jane@x.org>\ntext\n"
+    given = mails(
+        spark,
+        mail(SVN_BODY, Message_ID="<plain>", From="dev@x.org", Subject="svn commit: r1"),
+        mail("text\n\nAuthor: jdoe\n", Message_ID="<reply>", From="dev@x.org", Subject="Re: r1", X_Mailer="svnmailer"),
+        mail("text\n" + jane, Message_ID="<git>", From="Dev <dev@x.org>", Subject="Re: git", X_Git_Rev="1"),
+        mail(SVN_BODY, Message_ID="<bare>", From=None, Subject="svn commit: r2"),
+    )
+    found = {r.message_id: r for r in messages.parse_mails(given).collect()}
+    names = {i: (r.msg_format, r.author and r.author.name) for i, r in found.items()}
+    assert names == {
+        "<plain>": ("SVN", "dev"), "<reply>": ("EMAIL", "jdoe"), "<git>": ("EMAIL", "Jane Doe"), "<bare>": ("SVN", None)}
+
+
+def test_every_mail_has_a_place(spark, tmp_path):
+    """Notices without a change are rejected, not lost; the counts add up."""
+    git, svn = {"X_Git_Rev": "1"}, {"Subject": "svn commit: r1"}
+    raws = [
+        mail(Message_ID="<1>"), mail(Message_ID="<2>", **git), mail(Message_ID="<3>", **svn), mail(Message_ID="<4>", X_Mailer="Outlook"),
+        mail(Message_ID="<5>", From=None), mail(Message_ID="<6>", Date="x"), mail("Modified: a\n===\n+x\n", Message_ID="<7>", **svn)]
+    write(tmp_path, "in/p/dev/1.mbox", mbox(*raws))
+    for strict, emails in ((False, 2), (True, 1)):
+        out = str(tmp_path / f"out-{strict}")
+        counts = archive.run(spark, str(tmp_path / "in"), no_projects(spark), out, strict=strict)
+        assert counts["messages"] == sum(n for k, n in counts.items() if k != "messages") == 7
+        assert (counts["emails"], counts["notices"]) == (emails, 1)
+        rejects = {r.message_id: r.reject_reason for r in spark.read.parquet(f"{out}/rejects").collect()}
+        wanted = {"<2>": "no_changes", "<3>": "no_changes", "<5>": "unclassified", "<6>": "bad_date"}
+        assert rejects == wanted | ({"<4>": "no_changes"} if strict else {})
+
+
+def test_csv_tables_keep_lone_carriage_returns(spark, tmp_path):
+    schema = "proj_name string, folder string, subject string, period int"
+    given = [("p", "f", s, i) for i, s in enumerate(["x\ry", "\r", "a\r\nb", "a\nb", '"\r"', "\\\r,", "end\r"])]
+    frame = spark.createDataFrame(given, schema)
+    tables.write_list_tables(frame, str(tmp_path / "t"), fmt="csv")
+    back = tables.read_list_tables(spark, str(tmp_path / "t"), "subject string, period int, proj_name string, folder string", fmt="csv")
+    assert {(r.proj_name, r.folder, r.subject, r.period) for r in back.collect()} == set(given)
+    tables.write_export(frame, str(tmp_path / "e"))
+    assert {tuple(r) for r in tables.read_export(spark, str(tmp_path / "e"), schema).collect()} == set(given)
+
+
+def test_paths_lose_carriage_returns(spark):
+    from helpers import mails
+
+    body = "Modified: trunk/x\ry\n===\n+a\n"
+    found = messages.parse_mails(mails(spark, mail(body, X_Mailer="svnmailer"))).first()
+    assert [c.file_path for c in found.changes] == ["trunk/xy"]
+
+
+def test_cleaning_takes_nested_directories(spark, tmp_path):
+    write(tmp_path, "in/foo/dev/1.mbox", mbox(mail(Message_ID="<old>")))
+    write(tmp_path, "in/foo/dev/2.mbox", mbox(mail(Message_ID="<kept>")))
+    write(tmp_path, "in/incubator/foo-dev/1.mbox", mbox(mail("é new\n", Message_ID="<new>")))
+    write(tmp_path, "in/incubator/general/1.mbox", mbox(mail(Message_ID="<none>")))
+    archives.clean_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"), nested_root=str(tmp_path / "in/incubator"))
+    rows = messages.parse_mails(archives.read_archives(spark, str(tmp_path / "out"))).collect()
+    assert {(r.proj_dir, r.folder, r.mbox, r.message_id) for r in rows} == {
+        ("foo", "dev", "1.mbox", "<new>"), ("foo", "dev", "2.mbox", "<kept>")}
