@@ -11,6 +11,7 @@ from listmill.operators import messages
 from listmill.sources.archives import NOT_PARSED, records_to_mails, scan_records
 
 _ID = ["proj_dir", "message_id"]
+_ID_SCHEMA = "proj_dir string, message_id string"
 
 
 def ingest(
@@ -22,19 +23,26 @@ def ingest(
 ) -> None:
     """Parse the files that are new under ``root`` and append what was not seen before.
 
-    The stream's checkpoint remembers the files. Each batch writes its own folder and is
-    compared with the folders of earlier batches only, so a batch that is run again after
-    a failure replaces what it wrote. ``files_per_batch`` cuts a long backlog into batches
-    that are kept one by one. Mail dates cannot be trusted, so there is no
-    watermark; the ids stay in files and not in operator state.
+    The stream's checkpoint remembers the files. Each batch writes its own folders and is
+    compared with those of earlier batches only, so a batch that is run again after a
+    failure replaces what it wrote. ``files_per_batch`` cuts a long backlog into batches
+    that are kept one by one. Mail dates cannot be trusted, so there is no watermark; the
+    ids stay in files of their own, two columns wide, and not in operator state.
+
+    Of several copies, the one that arrives first is kept; within a batch, the first by
+    list, month and place. So copies that arrive in another order than that of their files
+    give another kept copy than one run over everything: what was handed on is not taken
+    back.
     """
     def write_batch(records: DataFrame, batch_id: int) -> None:
         session = records.sparkSession
         fresh = messages.first_copies(parse(records_to_mails(records)))
         if batch_id > 0:
-            seen = stored(session, target).filter(F.col("batch") < batch_id).select(*_ID)
-            fresh = fresh.join(seen, _ID, "left_anti")
+            seen = session.read.schema(f"{_ID_SCHEMA}, batch bigint").parquet(f"{target}/ids")
+            fresh = fresh.join(seen.filter(F.col("batch") < batch_id).select(*_ID), _ID, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        kept = session.read.schema(_ID_SCHEMA).parquet(f"{target}/rows/batch={batch_id}")
+        kept.write.mode("overwrite").parquet(f"{target}/ids/batch={batch_id}")
 
     reader = spark.readStream
     if files_per_batch:
@@ -60,16 +68,6 @@ def ingest_messages(
     ingest(spark, root, target, lambda mails: messages.parse_mails(mails, strict), files_per_batch)
 
 
-def ingest_ids(spark: SparkSession, root: str, target: str) -> None:
-    """Ids and places only."""
-
-    def ids(mails: DataFrame) -> DataFrame:
-        named = mails.transform(messages.with_headers).transform(messages.with_message_id)
-        return named.select(*messages.KEYS, "message_id")
-
-    ingest(spark, root, target, ids)
-
-
 def stored(spark: SparkSession, target: str) -> DataFrame:
     """All rows kept so far; ``batch`` tells the run that kept them."""
     return spark.read.parquet(f"{target}/rows")

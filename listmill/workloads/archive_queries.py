@@ -181,26 +181,18 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_export(spark, target, "subject string, n bigint, proj_name string, folder string")
 
 
-def incremental_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Two drops of files, each followed by a stream run; then all ids that were kept."""
+def incremental_mails(spark: SparkSession, sf: str) -> DataFrame:
+    """Three drops of files, each followed by a stream run; then all mails that were kept."""
     root, target = shared_folder(spark, "drops"), shared_folder(spark, "stream")
-    documents = table(spark, sf, "documents")
-    value = words(
-        "x@h Mon\n", mail(line("Message-ID", words("<", _key(), "@h>")), body=F.lit("b")), "\n"
-    )
-    for drop in (0, 1):
-        part = documents.filter(doc_id() % 3 == 2) if drop else documents.filter(doc_id() % 3 != 2)
-        archives.write_mbox(
-            part.select(
-                _directory().alias("proj_dir"),
-                F.lit(f"list{drop}").alias("folder"),
-                F.lit(f"m{drop}").alias("mbox"),
-                value.alias("value"),
-            ),
-            f"{root}/drop{drop}",
-        )
-        incremental.ingest_ids(spark, f"{root}/*", target)
-    return incremental.stored(spark, target).select("proj_dir", "message_id")
+    mails = archive_of(table(spark, sf, "documents"))
+    escaped = F.regexp_replace("raw", r"\nFrom ", "\n>From ")
+    written = mails.withColumn("value", words("x@h Mon\n", escaped, "\n"))
+    for drop in range(3):
+        archives.write_mbox(written.filter(F.floor(F.col("seq") / 7) % 3 == drop), f"{root}/drop{drop}")
+        incremental.ingest_messages(spark, f"{root}/*", target)
+    return incremental.stored(spark, target).select(
+        "proj_dir", "folder", "mbox", "message_id", "subject", "message_date", "reject_reason",
+        F.coalesce(F.size("changes"), F.lit(0)).alias("n_changes"))
 
 
 def _directory():
@@ -238,7 +230,7 @@ QUERIES = {
     "run_counts": run_counts,
     "nested_archive": nested_archive,
     "csv_round_trip": csv_round_trip,
-    "incremental": incremental_ids,
+    "incremental": incremental_mails,
     "dedup_first": dedup_first,
 }
 
@@ -304,10 +296,25 @@ ORACLES = {
                                chr(13) || chr(13), '",' || chr(13) || '"'] AS m)
         SELECT source || m[doc_id % 10 + 1] || text[1:40] || m[doc_id % 7 + 1] || 'z' AS subject, doc_id AS n,
                source AS proj_name, lang AS folder FROM documents, marks""",
-    "incremental": """
-        SELECT DISTINCT 'p' || ((doc_id // 50) % 20) AS proj_dir,
-               '<' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END || '@h>' AS message_id
-        FROM documents""",
+    # The copy that arrives first stays.
+    "incremental": f"""
+        WITH {ARCHIVE_SQL},
+        arrived AS (
+          SELECT *, row_number() OVER (PARTITION BY proj_dir, message_id
+                                       ORDER BY (doc_id // 7) % 3, folder, mbox, doc_id) AS n,
+                 doc_id % 37 <> 0 AS full_body FROM facts)
+        SELECT proj_dir, folder, mbox, message_id,
+               CASE WHEN kind IN ('svn subject', 'svn bare') THEN 'svn commit: r' || doc_id
+                    WHEN kind LIKE '% reply' THEN 'Re: reply ' || doc_id WHEN kind = 'svn' THEN 'r' || doc_id || ' - trunk'
+                    WHEN kind = 'git' THEN 'git commit: ' || doc_id
+                    WHEN kind = 'mail' AND doc_id % 8 = 2 THEN 'Re: topic ' || doc_id ELSE 'topic ' || doc_id END AS subject,
+               CASE WHEN doc_id % 41 <> 0 THEN strftime(day, '%a, %-d %b %Y') || ' 10:20:30 +0200' END AS message_date,
+               CASE WHEN doc_id % 41 = 0 THEN 'bad_date' WHEN kind = 'none' THEN 'unclassified'
+                    WHEN kind = 'git empty' OR (NOT full_body AND kind IN ('git', 'svn subject', 'svn bare')) THEN 'no_changes'
+               END AS reject_reason,
+               CASE WHEN full_body AND kind IN ('svn', 'svn subject', 'svn bare') THEN 3
+                    WHEN full_body AND kind = 'git' THEN 1 ELSE 0 END AS n_changes
+        FROM arrived WHERE n = 1""",
     "dedup_first": """
         SELECT doc_id, proj_dir, message_id, folder, mbox FROM (
           SELECT *, row_number() OVER (PARTITION BY proj_dir, message_id ORDER BY folder, mbox, doc_id) AS n

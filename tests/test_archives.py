@@ -328,3 +328,13 @@ def test_cleaning_takes_nested_directories(spark, tmp_path):
     rows = messages.parse_mails(archives.read_archives(spark, str(tmp_path / "out"))).collect()
     assert {(r.proj_dir, r.folder, r.mbox, r.message_id) for r in rows} == {
         ("foo", "dev", "1.mbox", "<new>"), ("foo", "dev", "2.mbox", "<kept>")}
+
+
+def test_the_copy_that_arrives_first_is_kept(spark, tmp_path):
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for folder in ("dev", "commits"):
+        write(tmp_path, f"in/proj/{folder}/1.mbox", mbox(mail(folder, Message_ID="<1@h>")))
+        incremental.ingest_messages(spark, root, target)
+    assert [r.folder for r in incremental.stored(spark, target).collect()] == ["dev"]
+    once = messages.first_copies(messages.parse_mails(archives.read_archives(spark, root)))
+    assert [r.folder for r in once.collect()] == ["commits"]
