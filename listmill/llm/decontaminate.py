@@ -133,3 +133,28 @@ def remove(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return overlaps(documents(spark, sf_dir), benchmark).select("doc_id", "item_id", "window", "equal")
+
+
+#: A window with so few substitutions has four equal tokens in a row somewhere; these find
+#: the alignments, whose windows are then counted.
+SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS v FROM benchmark),
+doc_runs AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 3], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1))) AS i FROM docs)),
+item_runs AS (
+  SELECT item_id, j, array_to_string(v[j:j + 3], ' ') AS run
+  FROM (SELECT item_id, v, unnest(range(1, greatest(len(v) - 2, 1))) AS j FROM items)),
+alignments AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM doc_runs JOIN item_runs USING (run)),
+windows AS (
+  SELECT doc_id, item_id, shift, w, v, least(len(v), 16)::INT AS size,
+         unnest(range(greatest(1, 1 - shift), least(len(v), len(w) - shift) - least(len(v), 16) + 2)) AS k
+  FROM alignments JOIN docs USING (doc_id) JOIN items USING (item_id) WHERE len(v) >= 5),
+counted AS (
+  SELECT doc_id, item_id, size,
+         len(list_filter(range(k, k + size), lambda p: v[p] = w[p + shift]))::INT AS equal FROM windows)
+SELECT doc_id, item_id, size AS window, max(equal) AS equal FROM counted
+WHERE equal >= size - CASE WHEN size >= 16 THEN 3 WHEN size >= 13 THEN 2 WHEN size >= 9 THEN 1 ELSE 0 END
+GROUP BY 1, 2, 3
+"""

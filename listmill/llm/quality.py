@@ -70,7 +70,8 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``loss`` (share of word characters lost) and ``kept``; input columns of these names are
     replaced. A null text is an empty one: no words, failed, not kept. Rows are judged one
     by one, so repeated rows get equal verdicts; an empty table gives an empty result. Lines
-    without a word are neither judged nor removed.
+    without a word are neither judged nor removed. To filter on the verdict, take
+    ``kept_rows`` or write the result first.
     """
     text = F.col("_lm_text")
     line_list = F.split(text, "\n")
@@ -79,8 +80,7 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumns({
         "_lm_words": words(text),
         "_lm_lines": F.filter(line_list, lambda x: x.rlike(WORD)),
-        "_lm_cleaned": F.array_join(
-            F.filter(line_list, lambda x: ~x.rlike(WORD) | line_fault(x).isNull()), "\n"),
+        "_lm_rest": F.filter(line_list, lambda x: ~x.rlike(WORD) | line_fault(x).isNull()),
     })
     step = step.withColumns({
         "n_words": F.size("_lm_words").cast("long"),
@@ -92,12 +92,11 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": _ink(text),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lm_lines") - F.size(F.array_distinct("_lm_lines"))).cast("long"),
-        "_lm_left": _ink(F.col("_lm_cleaned")),
-        "n_lines_removed": (F.size(F.split(text, "\n")) - F.when(
-            F.col("_lm_cleaned") == "", F.lit(0)).otherwise(
-            F.size(F.split("_lm_cleaned", "\n")))).cast("long"),
-    }).drop("_lm_words", "_lm_lines")
-    step = step.withColumns({"_lm_at": _repeat_words(F.col("_lm_windows"))}).drop("_lm_windows")
+        "_lm_cleaned": F.array_join("_lm_rest", "\n"),
+        "n_lines_removed": (F.size(line_list) - F.size("_lm_rest")).cast("long"),
+    }).drop("_lm_words", "_lm_lines", "_lm_rest")
+    step = step.withColumns({
+        "_lm_at": _repeat_words(F.col("_lm_windows")), "_lm_left": _ink(F.col("_lm_cleaned"))}).drop("_lm_windows")
     covered = F.zip_with(
         "_lm_at", F.slice("_lm_at", F.lit(2), F.size("_lm_at") + 1),
         lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
@@ -126,3 +125,45 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "n_lines_removed")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_LINE_FAILS = f"""
+  regexp_matches(line, {_quoted(MENU)}) OR regexp_matches(line, {_quoted(MENU_WORDS)})
+  OR NOT regexp_matches(line, {_quoted(SENTENCE_END)})
+  OR len(regexp_extract_all(line, {_quoted(NOISE)})) > {NOISE_SHARE} * len(regexp_extract_all(line, {_quoted(WORD)}))
+  OR regexp_matches(line, {_quoted(BOILERPLATE)})"""
+
+SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_quoted(WORD)}) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM texts))),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM windows, range(0, 3) AS t(d) WHERE n > 1 GROUP BY 1),
+lines AS (
+  SELECT doc_id, line, regexp_matches(line, {_quoted(WORD)}) AS worded,
+         length(regexp_replace(line, '[{BLANKS}]+', '', 'g')) AS ink
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
+by_line AS (
+  SELECT doc_id, count(*) FILTER (WHERE worded) - count(DISTINCT line) FILTER (WHERE worded) AS n_dup_lines,
+         sum(ink) AS word_chars, coalesce(sum(ink) FILTER (WHERE worded AND ({_LINE_FAILS})), 0) AS lost,
+         count(*) FILTER (WHERE worded AND ({_LINE_FAILS})) AS gone
+  FROM lines GROUP BY 1),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+         len(regexp_extract_all(text, {_quoted(SYMBOLS)}))::BIGINT AS n_symbols, n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, lost, gone
+  FROM texts JOIN by_line USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
+         AND (word_chars = 0 OR lost <= {MAX_LOSS} * word_chars) AS kept,
+       gone::BIGINT AS n_lines_removed
+FROM base
+"""

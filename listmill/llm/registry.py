@@ -22,5 +22,8 @@ QUERIES = {
 ORACLES = {
     "op8_quotation_links": quotes.SQL,
     "op1_merkle_fixity": fixity.SQL,
+    "op4_minhash_components": neardup.SQL,
     "op5_line_dedup": lines.SQL,
+    "op6_line_first_cleaning": quality.SQL,
+    "op7_spaced_seeds": decontaminate.SQL,
 }
