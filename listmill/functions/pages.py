@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listmill.functions.text import let
+
 # Project names whose identifier differs from the name (fixed values).
 PROJECT_IDS = {
     "zetacomponents": "zeta",
@@ -45,12 +47,41 @@ def tags(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0))
 
 
+# Entities that have names (fixed values); all others are decoded in their numeric forms.
+_NAMED = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…",
+    "agrave": "à", "aacute": "á", "auml": "ä", "ccedil": "ç", "egrave": "è", "eacute": "é", "iacute": "í",
+    "ntilde": "ñ", "oacute": "ó", "ouml": "ö", "szlig": "ß", "uacute": "ú", "uuml": "ü",
+}
+_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+
+def _character(entity: Column) -> Column:
+    """What ``&#233;`` or ``&#xE9;`` stands for; one out of range stays as it is."""
+    digits = F.regexp_extract(entity, r"&#[xX]?([0-9A-Fa-f]+);", 1)
+    code = F.when(F.rlike(entity, F.lit("^&#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+
 def inner_text(element: Column) -> Column:
-    """Text of an element: tags removed, the five basic entities decoded."""
-    text = F.regexp_replace(element, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Text of an element: tags removed, numeric and common named entities decoded."""
+
+    def decoded(text: Column) -> Column:
+        for name, character in _NAMED.items():
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
+        return let(text, numeric)
+
+    def numeric(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(0)))
+        text = F.aggregate(found, text, lambda s, e: F.replace(s, e, _character(e)))
+        return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+    def shortcut(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text)
+
+    return let(F.regexp_replace(element, r"<[^>]*>", ""), shortcut)
 
 
 def attribute(element: Column, name: str) -> Column:

@@ -324,3 +324,17 @@ def test_attributes_and_links(spark):
     assert apply(spark, lambda c: pages.attribute(c, "name"), tag) == ["n", "n", None]
     assert apply(spark, pages.link_id, ['<li><a href="https://h/projects/xmlbeans.html">X</a>; revived</li>']) == ["xmlbeans"]
     assert apply(spark, pages.span_ids, ['<span class="l" id="201901">x</span><span>y</span>']) == [["201901"]]
+
+
+def test_entities(spark):
+    import html
+
+    given = [
+        "plain", "a &lt;b&gt; &amp;lt; &quot;c&#39;", "Caf&eacute; &#233;&#xE9;&#8217;s &#x1F600;", "&#38;lt; &amp;#39;", "x&nbsp;y",
+        "&#0; &#xD800; &#9999999; &bogus; & alone &#; &#x;", "R&amp;D &ndash; <b>bold</b> &uuml;ber", "",
+    ]
+    got = apply(spark, pages.inner_text, given)
+    wanted = [html.unescape(g.replace("<b>", "").replace("</b>", "")) for g in given]
+    wanted[5] = given[5]
+    assert got == wanted
+    assert apply(spark, pages.inner_text, [None]) == [None]
