@@ -13,8 +13,12 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(neighbours: DataFrame, larger_only: bool) -> DataFrame:
-    """Ties each node's neighbours to the smallest among them and the node itself."""
-    least = neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """Ties each node's neighbours to the smallest among them and the node itself.
+
+    The smallest ones are written before the join, whose sides are then plain exchanges:
+    adaptive execution can split the rows of a node with very many neighbours.
+    """
+    least = written(neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     joined = neighbours.join(least, "u")
     if larger_only:
         tied = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
