@@ -116,7 +116,7 @@ def with_reason(mails: DataFrame) -> DataFrame:
 
     A notice without a file change has no row among the commits: ``no_changes``.
     """
-    no_changes = F.col("msg_format").isin("SVN", "Git") & (F.coalesce(F.size("changes"), F.lit(0)) == 0)
+    no_changes = F.col("msg_format").isin("SVN", "Git") & (F.coalesce(F.size("changes"), F.lit(0)) <= 0)
     reason = (
         F.when(F.coalesce(F.length("body"), F.lit(0)) == 0, "empty_body")
         .when(F.col("message_date").isNull(), "bad_date")

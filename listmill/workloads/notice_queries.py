@@ -239,7 +239,8 @@ def rejects(spark: SparkSession, sf: str) -> DataFrame:
     kept = table(spark, sf, "events").select(
         F.when(key % 13 != 0, F.col("props")).alias("body"),
         dates.clean_date(_event_date()).alias("message_date"),
-        F.when(key % 17 != 0, "EMAIL").alias("msg_format"),
+        F.when(key % 17 != 0, F.when(key % 19 == 0, "SVN").otherwise("EMAIL")).alias("msg_format"),
+        F.when(key % 2 == 0, F.array(key)).alias("changes"),
     )
     marked = kept.transform(messages.with_reason).filter(F.col("reject_reason").isNotNull())
     return marked.groupBy("reject_reason").agg(F.count("*").alias("n"))
@@ -375,7 +376,8 @@ ORACLES = {
     "rejects": """
         SELECT reject_reason, count(*) AS n FROM (
           SELECT CASE WHEN event_id % 13 = 0 THEN 'empty_body' WHEN event_id % 11 IN (0, 1, 2) THEN 'bad_date'
-                      WHEN event_id % 17 = 0 THEN 'unclassified' END AS reject_reason FROM events)
+                      WHEN event_id % 17 = 0 THEN 'unclassified'
+                      WHEN event_id % 19 = 0 AND event_id % 2 = 1 THEN 'no_changes' END AS reject_reason FROM events)
         WHERE reject_reason IS NOT NULL GROUP BY 1""",
     "period": """
         SELECT o_orderkey, trunc((o_orderdate::DATE - DATE '1998-01-01') / 30.0)::INT AS period FROM orders""",
