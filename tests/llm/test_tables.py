@@ -309,6 +309,29 @@ def test_links(spark):
     assert quotes.link(spark.createDataFrame([], MAIL), "box", "seq", "body").count() == 0
 
 
+@pytest.mark.parametrize("many", [quotes.MANY, 1])
+def test_repeated_turns(spark, many):
+    """Turns whose texts occurred before are answered like any other."""
+    said = {
+        1: ["Start.", "Why?", "So.", "Yes.", "Then what?", "Yes.", "Sure?", "Fine.", "Why?", "Yes.", "Good.", "Bye."],
+        2: ["A.", "B."] * 4, 3: ["Same."] * 6, 4: ["One.\nSig", "Two.\nSig", "One.\nSig", "Three.\nSig", "Two.\nSig", "Sig"]}
+    turns = [(c, t, "user", text) for c, texts in said.items() for t, text in enumerate(texts)]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    for r in quotes.link(quotes.mails(frame), "conv_id", "turn", "mail", many=many).collect():
+        assert (r["parent"], r["root"], r["depth"]) == (r["turn"] - 1 if r["turn"] else None, 0, r["turn"]), r
+
+
+def test_last_writer_before(spark):
+    rng, size = random.Random(2), quotes.RANGE
+    writers = sorted({rng.randrange(9 * size) for _ in range(12)} | {3 * size, 4 * size - 1})
+    asked = sorted({rng.randrange(9 * size) for _ in range(60)} | {3 * size, 4 * size, writers[0]})
+    result = quotes._last_before(
+        spark.createDataFrame([(1, w) for w in writers], "k int, writer bigint"),
+        spark.createDataFrame([(1, a) for a in asked] + [(2, 5)], "k int, _lm_seq bigint"), ["k"]).collect()
+    assert {r["_lm_seq"]: r["writer"] for r in result} == {
+        a: max(w for w in writers if w < a) for a in asked if a > writers[0]}
+
+
 def test_conversations_come_back(spark, sf):
     turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     turns_frame = spark.read.parquet(f"{sf}/conversations.parquet")
