@@ -89,7 +89,8 @@ def overlaps(
 
     One row for each document and item that agree in a window of 16 tokens (or the whole of
     a shorter item) but for the allowed substitutions; ``equal`` is the most tokens that are
-    equal in a window. Items of fewer than 5 tokens, null and empty texts match nothing. A
+    equal in a window. Different texts under one item id, or under none, count each by its
+    own length: there is a row for each ``window`` that matches. Items of fewer than 5 tokens, null and empty texts match nothing. A
     null id is kept. Rows with equal id and text are one document, items with equal id and
     text one item. Empty tables give an empty result.
 
@@ -114,9 +115,9 @@ def overlaps(
         found = places.select(*doc_keys, "_lm_at", "_lm_mask", "_lm_seed").join(seeds, ["_lm_seed", "_lm_mask"])
         found = written(found.drop("_lm_seed").distinct(), "hits")
         hits = found.join(texts, doc_keys).join(items, "_lm_item_key")
-    best = _overlap(hits).groupBy("_lm_id", "_lm_text", "_lm_null", "_lm_item").agg(
-        F.max("_lm_window").alias("window"), F.max("_lm_equal").alias("equal"),
-    ).where(F.col("equal") >= F.col("window") - allowed(F.col("window")))
+    # Items that share an id, or have none, are held against what their own window allows.
+    best = _overlap(hits).groupBy("_lm_id", "_lm_text", "_lm_null", "_lm_item", F.col("_lm_window").alias("window")).agg(
+        F.max("_lm_equal").alias("equal")).where(F.col("equal") >= F.col("window") - allowed(F.col("window")))
     return best.select(
         "_lm_id", "_lm_text", F.when(~F.col("_lm_null"), F.col("_lm_id")).alias(id_col),
         F.col("_lm_item").alias(item_col), "window", "equal")

@@ -229,6 +229,22 @@ def test_substitutions(spark, limit):
     assert [(r["item_id"], r["equal"]) for r in result if r["doc_id"] is None] == [(30, 16)]
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 0])
+def test_items_that_share_an_id(spark, limit):
+    """A short item that is held whole counts, whatever long item has the same id or none too."""
+    short, long, other = ([f"{k}{j}" for j in range(n)] for k, n in (("s", 8), ("l", 30), ("o", 16)))
+    items = [(i, " ".join(words)) for i in (1, None) for words in (short, long, other)] + [(2, " ".join(long))]
+    rows = [
+        (10, [*short, "between", *long[3:10], *["rest"] * 20]), (11, long[3:10]), (12, [*short[:7], *long[:8]]), (13, [*other, "and", *short]),
+        (14, [*long[:20], *short[:5]]), (None, [*short, *other[:6]])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOC)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    result = decontaminate.overlaps(docs, benchmark, broadcast_seeds=limit).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["window"], r["equal"]) for r in result) == Counter(
+        (d, i, n, n) for d, n in ((10, 8), (13, 16), (13, 8), (14, 16), (None, 8)) for i in (1, None)) + Counter([(14, 2, 16, 16)])
+    assert Counter(r["doc_id"] for r in decontaminate.remove(docs, benchmark, broadcast_seeds=limit).collect()) == {11: 1, 12: 1}
+
+
 def test_removal(spark, odd, none, odd_rows):
     benchmark = spark.createDataFrame([(1, odd_rows[0][1])], "item_id bigint, text string")
     left = decontaminate.remove(odd, benchmark)
