@@ -30,13 +30,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What an identifier that the rules miss may look like, by kind.
+#: What an identifier that the rules miss may look like, by kind. An e-mail address is a local
+#: part, perhaps a blank, and this.
+_AT = re.compile(r"(?i:\(at\)|\[at\]| at )")
 _LOOSE = {
     "email": re.compile(
-        r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)++"),
+        _AT.pattern + r" ?[A-Za-z0-9-]++(?: ?(?i:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)++"),
     "ip": re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){3,7}(?![0-9A-Za-z:])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,6}){1,4}(?![0-9A-Za-z])"),
 }
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
 _REACH = 80
@@ -71,6 +74,8 @@ def _emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the rules, by kind, then start; leftmost and non-overlapping in a kind."""
     spans = [("email", *x) for x in _emails(text)]
+    if not _DIGIT.search(text):
+        return spans
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             spans.append(("ip", *m.span()))
@@ -85,24 +90,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _loose_emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost spans that do not overlap, from mark to mark: no word is tried from each letter."""
+    found, free, at = [], 0, _AT.search(text)
+    while at:
+        stop = at.start() - (text[at.start() - 1:at.start()] == " ")
+        start = stop
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _LOOSE["email"].match(text, at.start()) if free <= start < stop else None
+        if m:
+            found.append((start, m.end()))
+            free = m.end()
+        at = _AT.search(text, m.end() if m else at.start() + 1)
+    return found
+
+
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that look like identifiers, overlap no rule's span and no earlier loose one."""
+    """Spans that look like identifiers and overlap no rule's span.
+
+    Nor an earlier loose one, but for e-mail addresses: any prose with "at" may look like
+    them, and what they overlap is settled by the scores.
+    """
     found = []
-    if "dot" in text or "(at)" in text or "[at]" in text:
-        found += [("email", *m.span()) for m in _LOOSE["email"].finditer(text)]
     if ":" in text:
         found += [("ip", *m.span()) for m in _LOOSE["ip"].finditer(text)]
-    found += [
-        ("card", *m.span()) for m in _CARD.finditer(text)
-        if 13 <= sum(c.isdigit() for c in m.group()) <= 19]
-    found += [
-        ("phone", *m.span()) for m in _LOOSE["phone"].finditer(text)
-        if 7 <= sum(c.isdigit() for c in m.group()) <= 15]
-    if not found:
+    if _DIGIT.search(text):
+        found += [
+            ("card", *m.span()) for m in _CARD.finditer(text)
+            if 13 <= sum(c.isdigit() for c in m.group()) <= 19]
+        found += [
+            ("phone", *m.span()) for m in _LOOSE["phone"].finditer(text)
+            if 7 <= sum(c.isdigit() for c in m.group()) <= 15]
+    emails = _loose_emails(text)
+    if not found and not emails:
         return []
     kept, taken = [], bytearray(len(text))
     for _, s, e in base:
         taken[s:e] = b"\1" * (e - s)
+    kept += [("email", s, e) for s, e in emails if taken.find(1, s, e) < 0]
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
         if taken.find(1, s, e) < 0:
             kept.append((kind, s, e))
@@ -134,7 +160,6 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int
 _MENTION = pa.struct([
     ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()),
     ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
-_DIGIT = re.compile(r"[0-9]")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +167,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, mentions = [], []
         for text in batch.column(1):
             text = text.as_py()
-            some = "@" in text or _DIGIT.search(text) or "at" in text and "dot" in text
-            base = base_spans(text) if some else []
-            loose = loose_spans(text, base) if some else []
+            base = base_spans(text)
+            loose = loose_spans(text, base)
             spans.append([dict(zip(("kind", "start", "stop"), s)) for s in base])
             mentions.append([
                 {"kind": k, "start": s, "stop": e, "seed": seed, "value": text[s:e].lower(), "patterns": contexts(text, s, e)}
@@ -192,7 +216,8 @@ def find(
     """``id_col``, ``base`` and ``added`` for each row: arrays of ``kind``, ``start``, ``stop``.
 
     Offsets are code points, ends exclusive; both arrays are ordered by kind as listed, then
-    start. Added spans never overlap those of the rules. A null text has no span; a null id
+    start. Added spans overlap neither those of the rules nor each other: the best score, then
+    the first counts. A null text has no span; a null id
     stays null; rows that agree in id and text get equal results, each is returned; an empty
     table gives none. Whole texts are read in one scan that keeps spans and contexts only;
     texts are never exchanged.
@@ -207,15 +232,21 @@ def find(
         "kind", "pattern", "value").agg(F.max("seed").alias("seed"))
     good = pattern_scores(edges, rounds, min_seeds, min_pattern).where(F.col("score") >= min_instance)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    span = "array<struct<o:bigint,start:int,stop:int,kind:string>>"
+    ranked = F.sort_array(F.collect_set(F.struct(
+        (-F.col("score")).alias("rank"), F.col("start").alias("at"), F.struct(order.alias("o"), "start", "stop", "kind").alias("x"))))
+    apart = F.aggregate("ranked", F.array().cast(span), lambda kept, r: F.when(
+        F.exists(kept, lambda k: (k["start"] < r["x"]["stop"]) & (r["x"]["start"] < k["stop"])), kept,
+    ).otherwise(F.concat(kept, F.array(r["x"]))))
     added = (
-        mentions.where("NOT seed").join(good.select("kind", "value"), ["kind", "value"])
+        mentions.where("NOT seed").join(good, ["kind", "value"])
         .groupBy(F.coalesce("_lm_id", F.lit(2**63 - 1)).alias("_lm_i"), F.col("_lm_text").alias("_lm_t"))
-        .agg(F.sort_array(F.collect_set(F.struct(order.alias("o"), "start", "stop", "kind"))).alias("a")))
+        .agg(ranked.alias("ranked")).select("_lm_i", "_lm_t", F.sort_array(apart).alias("a")))
     joined = scanned.join(
         added, (F.coalesce("_lm_id", F.lit(2**63 - 1)) == F.col("_lm_i")) & (F.col("_lm_text") == F.col("_lm_t")), "left")
     return joined.select(
         F.col("_lm_id").alias(id_col), "base",
-        F.transform(F.coalesce("a", F.array().cast("array<struct<o:bigint,start:int,stop:int,kind:string>>")),
+        F.transform(F.coalesce("a", F.array().cast(span)),
                     lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("added"))
 
 

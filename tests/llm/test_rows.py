@@ -1,6 +1,7 @@
 """Operators that look at one row at a time: quality rules, personal data, token counts."""
 
 import hashlib
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -83,6 +84,36 @@ def test_contexts_find_what_rules_miss(spark):
     assert not added[21] and not any(added[i] for i in range(8))
 
 
+_EMAIL = re.compile(
+    r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)++", re.IGNORECASE)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from([" ", " at ", "(AT)", "[at]", " DOT ", ".", "(dot)", "john", "a", "é", "-", "at", "dot", "1"]), max_size=14))
+def test_loose_emails_need_no_other_word(parts):
+    text = "".join(parts)
+    assert pii._loose_emails(text) == [m.span() for m in _EMAIL.finditer(text)]
+
+
+def test_loose_spans_of_texts_without_digits(spark):
+    assert pii.loose_spans("write to john (at) example.com", []) == [("email", 9, 30)]
+    assert pii.loose_spans("ask john at example.com", []) == [("email", 4, 23)]
+    texts = [(i, f"Kindly write to user{chr(97 + i)}@example.com today.") for i in range(8)]
+    texts += [(20, "Kindly write to john (at) example.com today."), (21, "Kindly write to JOHN [AT] EXAMPLE DOT COM today.")]
+    texts += [(30 + i, f"The peer node has ab::{i}:1:2:3 or 10.0.0.{i} online.") for i in range(8)]
+    found = {r["doc_id"]: r["added"] for r in pii.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [tuple(s) for s in found[20]] == [("email", 16, 37)] and [tuple(s) for s in found[21]] == [("email", 16, 41)]
+    (mention,) = pii.loose_spans("peer fe:ab:cd:ef:aa up", [])
+    assert mention == ("ip", 5, 19)
+
+
+def test_prose_with_at_hides_no_number(spark):
+    said = [(i, f"Please phone us at +1 (555) 010-{2000 + i} today please.") for i in range(8)]
+    said += [(20, "Please phone us at 555.010.7788 today please.")]
+    found = {r["doc_id"]: r["added"] for r in pii.find(spark.createDataFrame(said, "doc_id bigint, text string")).collect()}
+    assert [tuple(s) for s in found[20]] == [("phone", 19, 31)]
+
+
 def test_pii_odd_rows(odd, none, odd_rows):
     result = pii.find(odd).collect()
     _same_rows(result, odd_rows)
