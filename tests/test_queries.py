@@ -18,6 +18,19 @@ def test_query_equals_sql(spark, con, name):
     assert rows > 0
 
 
+def test_csv_round_trip_compares_whole_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from listmill.workloads import archive_queries
+
+    read = archive_queries.tables.read_export
+    longer = spark.read.parquet(f"{SF}/documents.parquet").where("char_length(text) > 100").count()
+    monkeypatch.setattr(archive_queries.tables, "read_export", lambda *args: (frame := read(*args)).withColumns(
+        {c: F.substring(c, 1, 100) for c, kind in frame.dtypes if kind == "string"}))
+    broken = archive_queries.csv_round_trip(spark, SF).where("subject IS NULL").count()
+    assert broken >= longer > 0
+
+
 def test_every_query_of_the_archives_has_sql():
     from listmill.workloads import registry
 
