@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listmill.llm import decontaminate, fixity, lines, mixing, neardup, pii, quality, quotes, sharding, tokens
+from listmill.llm import (
+    decontaminate, fixity, lines, manifest, mixing, neardup, pii, quality, quotes, sharding, tokens)
 
 QUERIES = {
     "op1_merkle_fixity": fixity.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op8_quotation_links": quotes.query,
     "op9_whole_token_counts": tokens.query,
     "op10_fair_queueing": mixing.query,
+    "op12_merkle_manifest": manifest.query,
     "pipeline": corpus_pipeline.run,
 }
 
