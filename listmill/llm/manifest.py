@@ -124,7 +124,9 @@ def _tree(nodes: DataFrame, fan_out: int) -> tuple[list[DataFrame], DataFrame]:
     return levels, top
 
 
-def _paths(levels: list[DataFrame], top: DataFrame, top_paths: DataFrame, fan_out: int) -> DataFrame:
+def _paths(
+    levels: list[DataFrame], top: DataFrame, top_paths: DataFrame, fan_out: int, last_written: bool = True,
+) -> DataFrame:
     """Per node of the lowest level: ``_lm_path``, the (left, right) pairs from there to the root.
 
     ``top_paths``: ``_lm_grp`` and the path above the group's top. A group whose top is at
@@ -140,10 +142,11 @@ def _paths(levels: list[DataFrame], top: DataFrame, top_paths: DataFrame, fan_ou
             "_lm_grp", F.lit(0).cast("long").alias("_lm_up"), "_lm_path")
         if above is not None:
             parents = parents.unionByName(above.withColumnRenamed("_lm_idx", "_lm_up"))
-        above = written(level.withColumn("_lm_up", (F.col("_lm_idx") / fan_out).cast("long"))
-                        .join(parents, ["_lm_grp", "_lm_up"])
-                        .select("_lm_grp", "_lm_idx", F.concat(F.array(pair), "_lm_path").alias("_lm_path")),
-                        "manifest-paths")
+        above = (level.withColumn("_lm_up", (F.col("_lm_idx") / fan_out).cast("long"))
+                 .join(parents, ["_lm_grp", "_lm_up"])
+                 .select("_lm_grp", "_lm_idx", F.concat(F.array(pair), "_lm_path").alias("_lm_path")))
+        if height > 1 or last_written:
+            above = written(above, "manifest-paths")
     lone = with_tops.where("_lm_height = 0").select("_lm_grp", F.lit(0).cast("long").alias("_lm_idx"), "_lm_path")
     return lone if above is None else above.unionByName(lone)
 
@@ -153,25 +156,31 @@ def manifest(
     columns: list[str] | None = None,
     group: str = "source",
     order: str = "doc_id",
+    carry: list[str] | None = None,
     fan_out: int = FAN_OUT,
 ) -> DataFrame:
-    """Each row with ``leaf``, ``subroot``, ``root`` and ``path`` (array of left/right sibling text).
-
-    The leaf is the SHA-256 (lowercase hex) of ``columns`` (default: all but none added),
-    each ``-`` if null, else its UTF-8 byte count, ``:`` and the value. Rows of a ``group``
-    ascend by ``order``, then by leaf (nulls first in both); rows equal in both are repeated
-    leaves in some order. Every ``fan_out`` consecutive nodes, or fewer at the end of a
-    level, even one, become the hash of their hashes' concatenation while a group has more
-    than one node; the last is the subroot (a lone leaf itself). Subroots, by group with a
-    null group first and the rest by UTF-8 bytes, make the root likewise. An empty table
-    gives an empty result. Result columns of these names replace the input's.
+    """``carry`` columns of each row with ``leaf``, ``subroot``, ``root`` and ``path``.
+
+    ``path`` is the array of (left, right) sibling text from the leaf's level to the root.
+    The leaf is the SHA-256 (lowercase hex) of ``columns`` (default: all), each ``-`` if
+    null, else its UTF-8 byte count, ``:`` and the value. Rows of a ``group`` ascend by
+    ``order``, then by leaf (nulls first in both); rows equal in both are repeated leaves in
+    some order. Every ``fan_out`` consecutive nodes, or fewer at the end of a level, even
+    one, become the hash of their hashes' concatenation while a group has more than one
+    node; the last is the subroot (a lone leaf itself). Subroots, by group with a null group
+    first and the rest by UTF-8 bytes, make the root likewise. An empty table gives an empty
+    result. ``carry`` (default: all columns but the four added) is all that the sort and the
+    work tables hold of a row besides its keys, so texts need not go through them.
     """
+    added = ["leaf", "subroot", "root", "path"]
     columns = columns or [c for c in rows.columns if not c.startswith("_lm_")]
-    leaves = rows.withColumns({"_lm_leaf": leaf_of(columns), "_lm_grp": _group_key(group)})
-    leaves = numbered(leaves, "_lm_grp", [F.col(order).asc_nulls_first(), F.col("_lm_leaf")])
+    carry = carry or [c for c in rows.columns if c not in added and not c.startswith("_lm_")]
+    leaves = rows.select(*carry, F.col(group).alias("_lm_g"), F.col(order).alias("_lm_o"),
+                         leaf_of(columns).alias("_lm_leaf"), _group_key(group).alias("_lm_grp"))
+    leaves = numbered(leaves, "_lm_grp", [F.col("_lm_o").asc_nulls_first(), F.col("_lm_leaf")])
     levels, top = _tree(leaves.select("_lm_grp", "_lm_idx", F.col("_lm_leaf").alias("_lm_hash"), "_lm_n"), fan_out)
     top = written(top, "manifest-tops")
-    names = leaves.where("_lm_idx = 0").select("_lm_grp", F.col(group).alias("_lm_g"))
+    names = leaves.where("_lm_idx = 0").select("_lm_grp", "_lm_g")
     subroots = numbered(top.join(names, "_lm_grp").withColumn("_lm_one", F.lit(0)), "_lm_one",
                         [F.col("_lm_g").asc_nulls_first()])
     upper, root = _tree(subroots.select(F.col("_lm_one").cast("string").alias("_lm_grp"), "_lm_idx",
@@ -180,14 +189,13 @@ def manifest(
     upper_paths = _paths(upper, root, root.select("_lm_grp", no_path.alias("_lm_path")), fan_out)
     top_paths = subroots.join(upper_paths.select(F.col("_lm_idx").alias("_lm_sub"), "_lm_path"),
                               F.col("_lm_idx") == F.col("_lm_sub")).select("_lm_grp", "_lm_path")
-    leaf_paths = _paths(levels, top, top_paths, fan_out)
+    leaf_paths = _paths(levels, top, top_paths, fan_out, last_written=False)
     # The root is one value; a table without rows has none.
     the_root = root.select("_lm_top").first()
     result = (leaves.join(leaf_paths, ["_lm_grp", "_lm_idx"])
               .join(top.select("_lm_grp", F.col("_lm_top").alias("subroot")), "_lm_grp")
               .withColumn("root", F.lit(the_root[0] if the_root else None).cast("string")))
-    added = ["leaf", "subroot", "root", "path"]
-    keep = [c for c in rows.columns if c not in added and not c.startswith("_lm_")]
+    keep = [c for c in carry if c not in added]
     return result.select(*keep, F.col("_lm_leaf").alias("leaf"), "subroot", "root", F.col("_lm_path").alias("path"))
 
 
@@ -213,9 +221,10 @@ def tampered(frame: DataFrame) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(*COLUMNS)
-    built = manifest(docs, COLUMNS)
-    changed = leaf_of([c if c != "text" else "_lm_tampered" for c in COLUMNS])
-    return built.withColumn("_lm_tampered", tampered(built)).select(
+    changed = docs.withColumn("tampered_text", tampered(docs)).withColumn(
+        "changed_leaf", leaf_of([c if c != "text" else "tampered_text" for c in COLUMNS]))
+    built = manifest(changed, COLUMNS, carry=["doc_id", "changed_leaf"])
+    return built.select(
         "doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"),
-        fold(changed, F.col("path")).alias("folded_root"),
+        fold(F.col("changed_leaf"), F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -86,11 +86,12 @@ def test_query_against_plain_tree(spark, sf):
 
 def _query_rows(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, n_chars bigint, text string")
-    built = manifest.manifest(frame.repartition(4), manifest.COLUMNS)
-    changed = manifest.leaf_of(["doc_id", "source", "lang", "n_chars", "_lm_tampered"])
-    return built.withColumn("_lm_tampered", manifest.tampered(built)).select(
+    frame = frame.repartition(4).withColumn("t", manifest.tampered(frame))
+    frame = frame.withColumn("changed", manifest.leaf_of(["doc_id", "source", "lang", "n_chars", "t"]))
+    built = manifest.manifest(frame, manifest.COLUMNS, carry=["doc_id", "changed"])
+    return built.select(
         "doc_id", "leaf", "subroot", "root", manifest.proof(built["path"]).alias("proof_sha256"),
-        manifest.fold(changed, built["path"]).alias("folded_root"),
+        manifest.fold(built["changed"], built["path"]).alias("folded_root"),
     ).withColumn("verified", manifest.F.col("folded_root") == manifest.F.col("root")).collect()
 
 
