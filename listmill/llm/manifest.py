@@ -62,11 +62,16 @@ def numbered(frame: DataFrame, group: str, order: list[Column]) -> DataFrame:
     # One row per input partition: its size is bounded by the partition count, not by the rows.
     offsets = counts.select("_lm_part", F.coalesce(F.sum("_lm_rows").over(before), F.lit(0)).alias("_lm_off"))
     at = ordered.join(F.broadcast(offsets), part == F.col("_lm_part")).select(
-        *[F.col(c) for c in frame.columns],
+        *[F.col(c) for c in frame.columns], "_lm_part",
         (F.col("_lm_off") + F.col(mono).bitwiseAND((1 << _ROW_BITS) - 1)).alias("_lm_at"))
     at = written(at, "manifest-at")
-    starts = at.groupBy(group).agg(F.min("_lm_at").alias("_lm_start"), F.count("*").alias("_lm_n"))
-    return at.join(starts, group).select(
+    # A group's first row, found per (partition, group) and joined back on both, so that the
+    # rows of a group that fills many partitions stay spread over them.
+    pieces = at.groupBy("_lm_part", group).agg(F.min("_lm_at").alias("_lm_first"),
+                                                          F.count("*").alias("_lm_rows"))
+    spans = pieces.groupBy(group).agg(F.min("_lm_first").alias("_lm_start"), F.sum("_lm_rows").alias("_lm_n"))
+    starts = pieces.join(spans, group).select("_lm_part", group, "_lm_start", "_lm_n")
+    return at.join(starts, ["_lm_part", group]).select(
         *frame.columns, (F.col("_lm_at") - F.col("_lm_start")).alias("_lm_idx"), "_lm_n")
 
 
@@ -127,28 +132,32 @@ def _tree(nodes: DataFrame, fan_out: int) -> tuple[list[DataFrame], DataFrame]:
 def _paths(
     levels: list[DataFrame], top: DataFrame, top_paths: DataFrame, fan_out: int, last_written: bool = True,
 ) -> DataFrame:
-    """Per node of the lowest level: ``_lm_path``, the (left, right) pairs from there to the root.
+    """Per node of the lowest level: its columns, ``_lm_path`` and ``_lm_sub`` (its group's top).
 
+    ``_lm_path`` holds the (left, right) pairs from the node's level to the root.
     ``top_paths``: ``_lm_grp`` and the path above the group's top. A group whose top is at
-    height h has its nodes of level h-1 below it, and so on down.
+    height h has its nodes of level h-1 below it, and so on down. Groups of one node only
+    are not among them.
     """
     pair = F.struct(F.col("_lm_left").alias("left"), F.col("_lm_right").alias("right"))
-    with_tops = top.join(top_paths, "_lm_grp").select("_lm_grp", "_lm_height", "_lm_path")
-    above = None  # paths of the nodes one level up: _lm_grp, _lm_idx, _lm_path
+    with_tops = top.join(top_paths, "_lm_grp").select("_lm_grp", "_lm_height", "_lm_path",
+                                                      F.col("_lm_top").alias("_lm_sub"))
+    above = None  # paths of the nodes one level up: _lm_grp, _lm_idx, _lm_path, _lm_sub
     for height in range(len(levels), 0, -1):
         level = levels[height - 1]
         # Parents of this level's nodes: tops of groups of this height, or nodes of the level above.
         parents = with_tops.where(F.col("_lm_height") == height).select(
-            "_lm_grp", F.lit(0).cast("long").alias("_lm_up"), "_lm_path")
+            "_lm_grp", F.lit(0).cast("long").alias("_lm_up"), "_lm_path", "_lm_sub")
         if above is not None:
-            parents = parents.unionByName(above.withColumnRenamed("_lm_idx", "_lm_up"))
+            parents = parents.unionByName(above.select(
+                "_lm_grp", F.col("_lm_idx").alias("_lm_up"), "_lm_path", "_lm_sub"))
+        own = [c for c in level.columns if c not in ("_lm_left", "_lm_right")]
         above = (level.withColumn("_lm_up", (F.col("_lm_idx") / fan_out).cast("long"))
                  .join(parents, ["_lm_grp", "_lm_up"])
-                 .select("_lm_grp", "_lm_idx", F.concat(F.array(pair), "_lm_path").alias("_lm_path")))
+                 .select(*own, F.concat(F.array(pair), "_lm_path").alias("_lm_path"), "_lm_sub"))
         if height > 1 or last_written:
             above = written(above, "manifest-paths")
-    lone = with_tops.where("_lm_height = 0").select("_lm_grp", F.lit(0).cast("long").alias("_lm_idx"), "_lm_path")
-    return lone if above is None else above.unionByName(lone)
+    return above
 
 
 def manifest(
@@ -187,16 +196,26 @@ def manifest(
                                         F.col("_lm_top").alias("_lm_hash"), "_lm_n"), fan_out)
     no_path = F.array().cast("array<struct<left:string,right:string>>")
     upper_paths = _paths(upper, root, root.select("_lm_grp", no_path.alias("_lm_path")), fan_out)
+    if upper_paths is None:  # one group or none: its top is the root
+        upper_paths = root.select(F.lit(0).cast("long").alias("_lm_idx"), no_path.alias("_lm_path"))
     top_paths = subroots.join(upper_paths.select(F.col("_lm_idx").alias("_lm_sub"), "_lm_path"),
                               F.col("_lm_idx") == F.col("_lm_sub")).select("_lm_grp", "_lm_path")
+    # The row's columns go with its leaf through the lowest level and down the paths.
+    carried = leaves.select("_lm_grp", "_lm_idx", *carry)
+    if levels:
+        levels[0] = written(levels[0].join(carried, ["_lm_grp", "_lm_idx"]), "manifest-leaves")
     leaf_paths = _paths(levels, top, top_paths, fan_out, last_written=False)
+    lone = (top.where("_lm_height = 0").join(top_paths, "_lm_grp")
+            .join(carried.where("_lm_idx = 0"), "_lm_grp")
+            .select(*carry, F.col("_lm_top").alias("_lm_hash"), "_lm_path", F.col("_lm_top").alias("_lm_sub")))
+    if leaf_paths is not None:
+        lone = leaf_paths.select(*carry, "_lm_hash", "_lm_path", "_lm_sub").unionByName(lone)
     # The root is one value; a table without rows has none.
     the_root = root.select("_lm_top").first()
-    result = (leaves.join(leaf_paths, ["_lm_grp", "_lm_idx"])
-              .join(top.select("_lm_grp", F.col("_lm_top").alias("subroot")), "_lm_grp")
-              .withColumn("root", F.lit(the_root[0] if the_root else None).cast("string")))
     keep = [c for c in carry if c not in added]
-    return result.select(*keep, F.col("_lm_leaf").alias("leaf"), "subroot", "root", F.col("_lm_path").alias("path"))
+    return lone.select(*keep, F.col("_lm_hash").alias("leaf"), F.col("_lm_sub").alias("subroot"),
+                       F.lit(the_root[0] if the_root else None).cast("string").alias("root"),
+                       F.col("_lm_path").alias("path"))
 
 
 def proof(path: Column) -> Column:
