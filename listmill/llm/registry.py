@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from listmill.llm import (
-    decontaminate, fixity, lines, manifest, mixing, neardup, pii, quality, quotes, sharding, tokens)
+    decontaminate, fixity, lines, manifest, mixing, neardup, pii, quality, quotes, secrets, sharding, tokens,
+    whitening)
 
 QUERIES = {
     "op1_merkle_fixity": fixity.query,
@@ -17,7 +18,9 @@ QUERIES = {
     "op8_quotation_links": quotes.query,
     "op9_whole_token_counts": tokens.query,
     "op10_fair_queueing": mixing.query,
+    "op11_randomness_battery": secrets.query,
     "op12_merkle_manifest": manifest.query,
+    "op13_jacobi_davidson_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 
