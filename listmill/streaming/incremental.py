@@ -1,17 +1,54 @@
-"""Incremental ingestion: every file once, every Message-ID of a project once."""
+"""Incremental ingestion: every file once, every Message-ID of a project once.
+
+Two streams. The first parses each batch of new files and writes its rows (the first copy
+of each id within the batch) to a folder of that batch. The second reads those folders as a
+stream of narrow rows (id and place) and keeps, per id, the place of the copy that comes
+first by list, month and place in Spark's keyed state (RocksDB store). A batch looks up only
+the ids it holds, whatever the history: it emits ``keep`` for an id seen for the first time,
+and ``keep`` and ``retract`` when a copy arrives that comes before the one kept. Kept rows are
+then read from the parse folders that the batch names, and written with the retractions to
+folders of the batch, so that a batch that is run again replaces what it wrote.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listmill.operators import messages
 from listmill.sources.archives import NOT_PARSED, records_to_mails, scan_records
 
 _ID = ["proj_dir", "message_id"]
-_ID_SCHEMA = "proj_dir string, message_id string"
+#: The order in which copies of an id are ranked, as in ``messages.first_copies``.
+_ORDER = ["folder", "mbox", "file_path", "block_start", "seq"]
+_PLACE = ["file_path", "block_start", "seq", "parsed_batch"]
+_STATE = "folder string, mbox string, file_path string, block_start long, seq long, parsed_batch long"
+_DECISION = f"proj_dir string, message_id string, {_STATE}, action string"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _rank(row) -> tuple:
+    """Order of a copy; null comes first, as in an ascending sort."""
+    return tuple((row[c] is not None, row[c]) for c in _ORDER)
+
+
+def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One id: keep its first copy, and retract the one kept before if this one comes first."""
+    copies = pd.concat(list(frames), ignore_index=True)
+    best = min((copies.iloc[i] for i in range(len(copies))), key=lambda r: (_rank(r), r["parsed_batch"]))
+    out = []
+    if state.exists:
+        kept = dict(zip(["folder", "mbox", "file_path", "block_start", "seq", "parsed_batch"], state.get))
+        if _rank(kept) <= _rank(best):
+            return
+        out.append({**dict(zip(_ID, key)), **kept, "action": "retract"})
+    out.append({**dict(zip(_ID, key)), **{c: best[c] for c in [*_ORDER, "parsed_batch"]}, "action": "keep"})
+    state.update(tuple(None if pd.isna(best[c]) else best[c] for c in [*_ORDER, "parsed_batch"]))
+    yield pd.DataFrame(out, columns=[*_ID, *_ORDER, "parsed_batch", "action"])
 
 
 def ingest(
@@ -21,40 +58,61 @@ def ingest(
     parse: Callable[[DataFrame], DataFrame],
     files_per_batch: int | None = None,
 ) -> None:
-    """Parse the files that are new under ``root`` and append what was not seen before.
-
-    The stream's checkpoint remembers the files. Each batch writes its own folders and is
-    compared with those of earlier batches only, so a batch that is run again after a
-    failure replaces what it wrote. ``files_per_batch`` cuts a long backlog into batches
-    that are kept one by one. Mail dates cannot be trusted, so there is no watermark; the
-    ids stay in files of their own, two columns wide, and not in operator state.
-
-    Of several copies, the one that arrives first is kept; within a batch, the first by
-    list, month and place. So copies that arrive in another order than that of their files
-    give another kept copy than one run over everything: what was handed on is not taken
-    back.
+    """Parse the files that are new under ``root`` and keep the first copy of every id.
+
+    The first copy is the one first by list, month and place (file, offset, record), as in
+    a run over all files at once, in whatever order the files arrive: a copy that arrives
+    later but comes first replaces the one kept (``retracted`` lists what it replaces). Mail
+    dates cannot be trusted, so there is no watermark; the state holds one row per id.
+    ``files_per_batch`` cuts a long backlog into batches that are kept one by one.
     """
-    def write_batch(records: DataFrame, batch_id: int) -> None:
-        session = records.sparkSession
+    def write_parsed(records: DataFrame, batch_id: int) -> None:
         fresh = messages.first_copies(parse(records_to_mails(records)))
-        if batch_id > 0:
-            seen = session.read.schema(f"{_ID_SCHEMA}, batch bigint").parquet(f"{target}/ids")
-            fresh = fresh.join(seen.filter(F.col("batch") < batch_id).select(*_ID), _ID, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
-        kept = session.read.schema(_ID_SCHEMA).parquet(f"{target}/rows/batch={batch_id}")
-        kept.write.mode("overwrite").parquet(f"{target}/ids/batch={batch_id}")
+        fresh.withColumn("parsed_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            f"{target}/parsed/part{batch_id}")
 
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    query = (
-        scan_records(reader, root, NOT_PARSED)
-        .writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    (scan_records(reader, root, NOT_PARSED).writeStream.foreachBatch(write_parsed)
+     .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    try:
+        parsed_schema = spark.read.parquet(f"{target}/parsed/*").schema
+    except Exception as e:  # no file was ever parsed: nothing to keep
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return
+        raise
+
+    def write_kept(decisions: DataFrame, batch_id: int) -> None:
+        session = decisions.sparkSession
+        decisions = decisions.persist()
+        keep = decisions.where("action = 'keep'")
+        # The parse batches that this batch keeps rows of: a few names, not the rows.
+        parts = [r[0] for r in keep.select("parsed_batch").distinct().collect()]
+        if parts:
+            source = session.read.schema(parsed_schema).parquet(*[f"{target}/parsed/part{p}" for p in parts])
+            kept = source.join(keep.select(*_PLACE), _PLACE, "left_semi")
+        else:
+            kept = session.createDataFrame([], parsed_schema)
+        kept.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        decisions.where("action = 'retract'").select(*_ID, *_PLACE).write.mode("overwrite").parquet(
+            f"{target}/retracted/batch={batch_id}")
+        decisions.unpersist()
+
+    previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    try:
+        places = spark.readStream.schema(parsed_schema).parquet(f"{target}/parsed/*").select(
+            *_ID, *_ORDER, "parsed_batch")
+        decided = places.groupBy(*_ID).applyInPandasWithState(
+            _decide, _DECISION, _STATE, "append", GroupStateTimeout.NoTimeout)
+        (decided.writeStream.foreachBatch(write_kept).option("checkpointLocation", f"{target}/checkpoint-ids")
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        if previous is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
 
 
 def ingest_messages(
@@ -69,5 +127,12 @@ def ingest_messages(
 
 
 def stored(spark: SparkSession, target: str) -> DataFrame:
-    """All rows kept so far; ``batch`` tells the run that kept them."""
-    return spark.read.parquet(f"{target}/rows")
+    """All rows kept so far and not replaced since; ``batch`` tells the run that kept them."""
+    rows = spark.read.parquet(f"{target}/rows")
+    try:
+        retracted = spark.read.parquet(f"{target}/retracted").select(*_PLACE)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return rows.drop("parsed_batch")
+        raise
+    return rows.join(retracted, _PLACE, "left_anti").drop("parsed_batch")

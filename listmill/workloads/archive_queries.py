@@ -191,7 +191,11 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incremental_mails(spark: SparkSession, sf: str) -> DataFrame:
-    """Three drops of files, each followed by a stream run; then all mails that were kept."""
+    """Three drops of files, each followed by a stream run; then all mails that were kept.
+
+    A copy that a later drop brings replaces the one kept if it comes first by list, month
+    and place, the drop's folder being part of the place.
+    """
     root, target = shared_folder(spark, "drops"), shared_folder(spark, "stream")
     mails = archive_of(table(spark, sf, "documents"))
     escaped = F.regexp_replace("raw", r"\nFrom ", "\n>From ")
@@ -305,12 +309,12 @@ ORACLES = {
                                chr(13) || chr(13), '",' || chr(13) || '"'] AS m)
         SELECT source || m[doc_id % 10 + 1] || text[1:40] || m[doc_id % 7 + 1] || 'z' AS subject, doc_id AS n,
                source AS proj_name, lang AS folder FROM documents, marks""",
-    # The copy that arrives first stays.
+    # The copy first by list, month and place stays, whichever drop brought it.
     "incremental": f"""
         WITH {ARCHIVE_SQL},
         arrived AS (
           SELECT *, row_number() OVER (PARTITION BY proj_dir, message_id
-                                       ORDER BY (doc_id // 7) % 3, folder, mbox, doc_id) AS n,
+                                       ORDER BY folder, mbox, (doc_id // 7) % 3, doc_id) AS n,
                  doc_id % 37 <> 0 AS full_body FROM facts)
         SELECT proj_dir, folder, mbox, message_id,
                CASE WHEN kind IN ('svn subject', 'svn bare') THEN 'svn commit: r' || doc_id

@@ -338,3 +338,34 @@ def test_the_copy_that_arrives_first_is_kept(spark, tmp_path):
     assert [r.folder for r in incremental.stored(spark, target).collect()] == ["dev"]
     once = messages.first_copies(messages.parse_mails(archives.read_archives(spark, root)))
     assert [r.folder for r in once.collect()] == ["commits"]
+
+
+def test_incremental_drops_in_any_order_equal_one_run(spark, tmp_path):
+    """A copy that comes first by list, month and place replaces one kept earlier."""
+    early = [mail(f"a{i}", Message_ID=f"<{i}@h>") for i in range(6)]
+    late = [mail(f"b{i}", Message_ID=f"<{i}@h>") for i in range(3, 9)]
+    key = ["proj_dir", "message_id", "folder", "mbox", "subject"]
+    results = []
+    for order in (("aaa", "zzz"), ("zzz", "aaa")):
+        base = tmp_path / "".join(order)
+        root, target = str(base / "in"), str(base / "out")
+        for name in order:
+            raws = early if name == "aaa" else late
+            write(base, f"in/proj/{name}/1.mbox", mbox(*raws))
+            incremental.ingest_messages(spark, root, target)
+        results.append(set(incremental.stored(spark, target).select(key).collect()))
+        once = messages.first_copies(messages.parse_mails(archives.read_archives(spark, root)))
+        assert results[-1] == set(once.select(key).collect())
+    assert results[0] == results[1]
+    assert {r.folder for r in results[1] if r.message_id == "<4@h>"} == {"aaa"}
+
+
+def test_incremental_batches_read_only_their_ids(spark, tmp_path):
+    """Ten drops: each keyed-state batch takes the ids of its drop only, not those kept before."""
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(10):
+        write(tmp_path, f"in/proj/dev/{n}.mbox", mbox(*[mail(f"b{n}-{i}", Message_ID=f"<{n}-{i}@h>") for i in range(4)]))
+        incremental.ingest_messages(spark, root, target)
+        assert incremental.stored(spark, target).count() == 4 * (n + 1)
+        batch = spark.read.parquet(f"{target}/rows/batch={n}")
+        assert batch.count() == 4
