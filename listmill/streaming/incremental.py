@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from listmill.operators import messages
+from listmill.operators import messages, rows
+from listmill.operators.projects import with_project
 from listmill.sources.archives import NOT_PARSED, records_to_mails, scan_records
 
 _ID = ["proj_dir", "message_id"]
@@ -29,6 +30,24 @@ _PLACE = ["file_path", "block_start", "seq", "parsed_batch"]
 _STATE = "folder string, mbox string, file_path string, block_start long, seq long, parsed_batch long"
 _DECISION = f"proj_dir string, message_id string, {_STATE}, action string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Tables that each batch writes beside its kept rows, when a project table is given.
+TABLES = ("commits", "messages", "rejects")
+
+
+def _place() -> "F.Column":
+    """One text for a copy's place; the tables carry it so that a replaced copy can leave them."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in _PLACE])
+
+
+def _batch_tables(kept: DataFrame, projects: DataFrame) -> dict[str, DataFrame]:
+    """The commits, messages and rejects rows of kept messages, each with its ``place``."""
+    stored = kept.withColumn("place", _place()).transform(with_project, projects)
+    rejects = rows.reject_rows(stored).columns
+    return {
+        "commits": rows.commit_rows(stored, ["place", "message_ts", "change_no"]),
+        "messages": rows.email_rows(stored, ["place", "message_ts"]),
+        "rejects": stored.filter(F.col("reject_reason").isNotNull()).select(*rejects, "place"),
+    }
 
 
 def _rank(row) -> tuple:
@@ -57,9 +76,13 @@ def ingest(
     target: str,
     parse: Callable[[DataFrame], DataFrame],
     files_per_batch: int | None = None,
+    projects: DataFrame | None = None,
 ) -> None:
     """Parse the files that are new under ``root`` and keep the first copy of every id.
 
+    With ``projects``, each batch also writes its rows of the commits, messages and rejects
+    tables (``table`` reads them), in folders of the batch like the kept rows.
+
     The first copy is the one first by list, month and place (file, offset, record), as in
     a run over all files at once, in whatever order the files arrive: a copy that arrives
     later but comes first replaces the one kept (``retracted`` lists what it replaces). Mail
@@ -95,6 +118,11 @@ def ingest(
         else:
             kept = session.createDataFrame([], parsed_schema)
         kept.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        if projects is not None:
+            # Read back, so that the tables are cut from the written copy and not parsed again.
+            written = session.read.schema(kept.schema).parquet(f"{target}/rows/batch={batch_id}")
+            for name, frame in _batch_tables(written, projects).items():
+                frame.write.mode("overwrite").parquet(f"{target}/tables/{name}/batch={batch_id}")
         decisions.where("action = 'retract'").select(*_ID, *_PLACE).write.mode("overwrite").parquet(
             f"{target}/retracted/batch={batch_id}")
         decisions.unpersist()
@@ -121,18 +149,48 @@ def ingest_messages(
     target: str,
     strict: bool = False,
     files_per_batch: int | None = None,
+    projects: DataFrame | None = None,
 ) -> None:
-    """Incremental form of the parse step."""
-    ingest(spark, root, target, lambda mails: messages.parse_mails(mails, strict), files_per_batch)
+    """Incremental form of the parse step; with ``projects``, of the whole run."""
+    ingest(spark, root, target, lambda mails: messages.parse_mails(mails, strict), files_per_batch, projects)
 
 
 def stored(spark: SparkSession, target: str) -> DataFrame:
     """All rows kept so far and not replaced since; ``batch`` tells the run that kept them."""
-    rows = spark.read.parquet(f"{target}/rows")
+    kept = spark.read.parquet(f"{target}/rows")
+    retracted = _retracted(spark, target)
+    if retracted is None:
+        return kept.drop("parsed_batch")
+    return kept.join(retracted, _PLACE, "left_anti").drop("parsed_batch")
+
+
+def _retracted(spark: SparkSession, target: str) -> DataFrame | None:
     try:
-        retracted = spark.read.parquet(f"{target}/retracted").select(*_PLACE)
+        return spark.read.parquet(f"{target}/retracted").select(*_PLACE)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return rows.drop("parsed_batch")
+            return None
         raise
-    return rows.join(retracted, _PLACE, "left_anti").drop("parsed_batch")
+
+
+def table(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """Rows of ``name`` (one of ``TABLES``) of all batches, without those of replaced copies."""
+    found = spark.read.parquet(f"{target}/tables/{name}")
+    gone = _retracted(spark, target)
+    if gone is not None:
+        found = found.join(gone.select(_place().alias("place")), "place", "left_anti")
+    return found.drop("place", "batch")
+
+
+def counts(spark: SparkSession, target: str) -> dict[str, int]:
+    """Messages of the run so far: those in each table and the rejected ones by reason."""
+    kept = stored(spark, target)
+    found = kept.agg(
+        F.count(F.lit(1)).alias("messages"),
+        *[F.count_if(F.col("reject_reason") == r).alias(name) for name, r in (
+            ("ignored", "bad_date"), ("unclassified", "unclassified"), ("empty", "empty_body"),
+            ("no_changes", "no_changes"))],
+        F.count_if(F.col("reject_reason").isNull() & (F.col("msg_format") != "EMAIL")).alias("notices"),
+        F.count_if(F.col("reject_reason").isNull() & (F.col("msg_format") == "EMAIL")).alias("emails"),
+    ).first()
+    return found.asDict()
