@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from email.utils import parseaddr
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listmill.functions.text import non_empty
 
@@ -11,25 +15,26 @@ _AUTHOR = r"\nAuthor: (.*?) <([^>\n]*)>"
 _COMMITTER = r"\nCommitter: (.*?) <([^>\n]*)>"
 
 
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("address", T.StringType())]))
+def _parsed(values: pd.Series) -> pd.DataFrame:
+    """Display name and address as the standard library's ``parseaddr`` reads them.
+
+    Its fold over quoted strings, nested comments, groups and lists is the rule the
+    archives were read by; Arrow hands it a batch of headers at a time.
+    """
+    pairs = [(None, None) if v is None else parseaddr(v) for v in values]
+    return pd.DataFrame(pairs, columns=["name", "address"])
+
+
 def mailbox_name(value: Column) -> Column:
-    """Display name of ``Name <a>``, ``"Q, N" <a>``, ``a (N)``; '' when there is none."""
-    phrase = F.trim(F.regexp_extract(value, r"^([^<]*)<", 1))
-    quoted = F.contains(phrase, F.lit('"'))
-    plain = F.when(F.contains(phrase, F.lit("@")), "").otherwise(F.regexp_replace(phrase, r"\s+", " "))
-    unquoted = F.regexp_replace(phrase, r'\\(.)|"', "$1")
-    comment = F.regexp_extract(value, r"\(([^()]*)\)\s*$", 1)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.contains(value, F.lit("<")), F.when(quoted, unquoted).otherwise(plain))
-        .otherwise(comment)
-    )
+    """Display name of a mailbox header: of ``Name <a>``, ``"Q, N" <a>``, ``a (N)`` and all
+    other forms as ``email.utils.parseaddr`` gives it; '' when there is none, null for null."""
+    return _parsed(value)["name"]
 
 
 def mailbox_address(value: Column) -> Column:
-    """Address of a mailbox; '' when there is none."""
-    bare = F.regexp_replace(value, r"\s*\([^()]*\)\s*", "")
-    angle = F.regexp_replace(F.regexp_extract(value, r"<([^<>]*)>", 1), r"\s+", "")
-    return F.when(F.contains(value, F.lit("<")), angle).otherwise(F.trim(bare))
+    """Address of a mailbox header as ``parseaddr`` gives it; '' when there is none."""
+    return _parsed(value)["address"]
 
 
 def local_part(address: Column) -> Column:

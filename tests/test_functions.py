@@ -338,3 +338,20 @@ def test_entities(spark):
     wanted[5] = given[5]
     assert got == wanted
     assert apply(spark, pages.inner_text, [None]) == [None]
+
+
+def test_mailbox_parts_equal_parseaddr_on_many_headers(spark):
+    """Differential test: 1,000 headers of many forms against the standard library."""
+    import random
+    from email.utils import parseaddr
+
+    from listmill.functions import people
+
+    rng = random.Random(3)
+    atoms = ["Joe", "Doe", "a@x.org", "b@y", '"Q, N"', '"a\\\\"b"', "(c)", "(b (c) d)", "<j@x>", "list:", ";", ",",
+             " ", "  ", "é", "<>", "@", ".", "x.y@z", '"', "(", ")", "<", ">"]
+    headers = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 6))) for _ in range(1000)] + [None]
+    frame = spark.createDataFrame([(h,) for h in headers], "h string")
+    got = frame.select("h", people.mailbox_name(F.col("h")).alias("n"), people.mailbox_address(F.col("h")).alias("a"))
+    for r in got.collect():
+        assert (r["n"], r["a"]) == ((None, None) if r["h"] is None else parseaddr(r["h"])), r["h"]
