@@ -134,7 +134,7 @@ def archive_run(spark: SparkSession, sf: str) -> DataFrame:
     target, _ = _run_on_files(spark, sf)
     shared = ["proj_name", "mbox", "folder", "message_id", "period", "status", "message_date"]
     found = tables.read_list_tables(spark, f"{target}/commits", COMMITS)
-    mailed = tables.read_list_tables(spark, f"{target}/messages", MESSAGES).filter("subject NOT LIKE 'r%'")
+    mailed = tables.read_list_tables(spark, f"{target}/messages", MESSAGES)
     return found.select(
         *shared, F.col("author_name").alias("who"), F.col("author_email").alias("address"),
         F.concat_ws(" ", "file_op", "file_path").alias("what"), "addlines", "dellines",
@@ -273,7 +273,6 @@ ORACLES = {
         FROM (SELECT doc_id, {CLEAN_SQL} AS clean FROM documents)""",
     "commits_union": f"WITH {ARCHIVE_SQL} SELECT {_EXPORT} FROM commits",
     "emails_union": f"WITH {ARCHIVE_SQL} SELECT {_EMAIL_EXPORT} FROM emails",
-    # Bodies without a text are left out: the last mail of a file keeps one more line break.
     "archive_run": f"""
         WITH {ARCHIVE_SQL}
         SELECT proj_name, mbox, folder, message_id, period, status, message_date, author_name AS who,
@@ -285,9 +284,12 @@ ORACLES = {
                     WHEN doc_id % 13 = 0 OR kind = 'svn reply' THEN local_name
                     WHEN kind = 'git reply' THEN local_name ELSE 'Dev ' || who END,
                CASE WHEN kind = 'git reply' AND doc_id % 37 <> 0 THEN 'g' || who ELSE local_name END || '@x.org',
-               CASE WHEN kind LIKE '% reply' THEN 'Re: reply ' WHEN kind = 'mail' AND doc_id % 8 = 2 THEN 'Re: topic '
-                    ELSE 'topic ' END || doc_id, NULL, NULL
-        FROM firsts WHERE has_date AND kind IN ('mail', 'client', 'svn reply', 'git reply')""",
+               CASE WHEN kind = 'svn' THEN 'r' || doc_id || ' - trunk'
+                    ELSE CASE WHEN kind LIKE '% reply' THEN 'Re: reply ' WHEN kind = 'mail' AND doc_id % 8 = 2 THEN 'Re: topic '
+                              ELSE 'topic ' END || doc_id END, NULL, NULL
+        FROM firsts
+        -- An SVN notice without a text is a plain mail by its headers; its body in a file is a line break.
+        WHERE has_date AND (kind IN ('mail', 'client', 'svn reply', 'git reply') OR (kind = 'svn' AND doc_id % 37 = 0))""",
     "run_counts": f"""
         WITH {ARCHIVE_SQL}
         SELECT CASE WHEN NOT has_body THEN 'empty_body' WHEN NOT has_date THEN 'bad_date'
