@@ -2,8 +2,8 @@
 
 The covariance is never formed. Each product of it with a block of vectors is one pass over
 the distinct quantised vectors: every task multiplies its centred rows by the block and back
-(numpy on an Arrow batch), and the partial d x b products are summed by a Spark aggregation,
-so only one d x b block reaches the driver. The eigenproblem itself is small (d x b) and is
+(numpy on an Arrow batch), and the driver adds the tasks' d x b partial products, one per
+task. The eigenproblem itself is small (d x b) and is
 solved on the driver: a search space, Rayleigh-Ritz on it, locking of converged pairs, and
 for each pair still open the correction equation (I - UU')(V - theta I)(I - UU') t = -r,
 solved approximately by a few MINRES steps whose products are again passes, all open pairs
@@ -73,7 +73,10 @@ class Covariance:
                 yield pd.DataFrame({"_lm_p": [total.tolist()]})
 
         self.passes += 1
-        return _summed(self.fit.select("x").mapInPandas(partial, "_lm_p array<double>"), "_lm_p")
+        # One d x b partial per task: what reaches the driver is bounded by the task count
+        # times the block, not by the rows.
+        parts = self.fit.select("x").mapInPandas(partial, "_lm_p array<double>").collect()
+        return np.sum([np.asarray(r["_lm_p"]) for r in parts], axis=0)
 
     def times(self, block: np.ndarray) -> np.ndarray:
         """V @ block, V the covariance (divisor n)."""
