@@ -11,6 +11,29 @@ from pyspark.sql import functions as F
 
 from listmill.llm import common, decontaminate, mixing, neardup, quality, sharding
 
+#: Columns of documents that the operators read; the others are set aside while a stage runs.
+READ = ("doc_id", "text", "source", "lang", "n_chars")
+_ASIDE = "_pipeline_own_"
+
+
+def _own_columns_kept(stage):
+    """The stage with every other column of the documents set aside and given back unchanged.
+
+    Operators add columns such as ``size``, ``taken`` or ``shard``; a document's own columns
+    of such names keep their values. Where the stage's result has a column of that name (the
+    last stage's ``shard`` and ``slot``), the document's own comes back as ``own_<name>``.
+    """
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = [c for c in docs.columns if c not in READ]
+        result = stage(spark, docs.withColumnsRenamed({c: _ASIDE + c for c in own}), sf_dir)
+        back = {}
+        for c in own:
+            back[_ASIDE + c] = f"own_{c}" if c in result.columns else c
+        return result.withColumnsRenamed(back)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules; their texts stay whole."""
@@ -42,11 +65,11 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near duplicates", one_of_each_group),
-    ("decontamination", without_benchmark),
-    ("mixing", mixing_weights),
-    ("sharding", shards),
+    ("quality rules", _own_columns_kept(quality_rules)),
+    ("near duplicates", _own_columns_kept(one_of_each_group)),
+    ("decontamination", _own_columns_kept(without_benchmark)),
+    ("mixing", _own_columns_kept(mixing_weights)),
+    ("sharding", _own_columns_kept(shards)),
 ]
 
 #: The stages need iteration and random draws, which SQL cannot express; tests hold them

@@ -6,6 +6,7 @@ import brute
 import corpus_pipeline
 import pytest
 from check import compare, connect
+from conftest import CLASHES
 
 import __spark_entry__ as contract
 from listmill.llm import registry
@@ -19,7 +20,7 @@ def test_sql(spark, sf, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.QUERIES if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in registry.QUERIES if q.startswith("op")}
     assert registry.QUERIES.items() <= contract.queries().items()
 
 
@@ -61,4 +62,9 @@ def test_stages_take_odd_tables(spark, sf, odd, none):
         assert stage(spark, none, sf).count() == 0
         result = stage(spark, odd, sf)
         assert result.columns == odd.columns and result.count() > 0, name
-    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).count() == odd.count()
+        # The documents' own columns keep their values, whatever names the operators use.
+        for r in result.collect():
+            assert all(r[c] == f"x{i}" for i, c in enumerate(CLASHES)), (name, r)
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, sf)
+    assert last.count() == odd.count()
+    assert {r["own_shard"] for r in last.collect()} == {f"x{CLASHES.index('shard')}"}
