@@ -330,12 +330,13 @@ def test_cleaning_takes_nested_directories(spark, tmp_path):
         ("foo", "dev", "1.mbox", "<new>"), ("foo", "dev", "2.mbox", "<kept>")}
 
 
-def test_the_copy_that_arrives_first_is_kept(spark, tmp_path):
+def test_a_later_copy_that_comes_first_replaces_the_kept_one(spark, tmp_path):
+    """The copy in ``dev`` arrives first, the one in ``commits`` comes first: it replaces it."""
     root, target = str(tmp_path / "in"), str(tmp_path / "out")
     for folder in ("dev", "commits"):
         write(tmp_path, f"in/proj/{folder}/1.mbox", mbox(mail(folder, Message_ID="<1@h>")))
         incremental.ingest_messages(spark, root, target)
-    assert [r.folder for r in incremental.stored(spark, target).collect()] == ["dev"]
+    assert [r.folder for r in incremental.stored(spark, target).collect()] == ["commits"]
     once = messages.first_copies(messages.parse_mails(archives.read_archives(spark, root)))
     assert [r.folder for r in once.collect()] == ["commits"]
 
