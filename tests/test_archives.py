@@ -406,3 +406,47 @@ def test_incremental_tables_equal_one_run_after_a_replay(spark, tmp_path):
             os.remove(commits / name)
     incremental.ingest_messages(spark, root, target, projects=no_projects(spark))
     assert {name: sorted(map(str, frame.collect())) for name, frame in tables().items()} == before
+
+
+def test_incremental_keeps_ids_by_spark_aggregates(spark, tmp_path):
+    """No id passes through Python: both keyed states belong to Spark's own aggregation."""
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    write(tmp_path, "in/proj/dev/1.mbox", mbox(mail(Message_ID="<1@h>")))
+    incremental.ingest_messages(spark, root, target)
+    for checkpoint in ("checkpoint-ids", "checkpoint-kept"):
+        state = spark.read.format("state-metadata").load(f"{target}/{checkpoint}")
+        assert {r.operatorName for r in state.collect()} == {"stateStoreSave"}
+
+
+def test_incremental_copies_that_are_replaced_in_turn(spark, tmp_path):
+    """Ids whose copies come in falling, rising and mixed order over five drops of one list each."""
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    orders = {"<fall@h>": "edcba", "<rise@h>": "abcde", "<mixed@h>": "cdaeb", "<late@h>": " c b "}
+    for n in range(5):
+        for folder in "abcde":
+            ids = [i for i, order in orders.items() if order[n] == folder]
+            if ids:
+                write(tmp_path, f"in/proj/{folder}/{n}.mbox", mbox(*[mail(folder, Message_ID=i) for i in ids]))
+        incremental.ingest_messages(spark, root, target, projects=no_projects(spark))
+        found = sorted((r.message_id, r.folder) for r in incremental.stored(spark, target).collect())
+        assert found == sorted((i, min(o[:n + 1].replace(" ", ""))) for i, o in orders.items() if o[:n + 1].strip())
+        mailed = incremental.table(spark, target, "messages").select("message_id", "folder").collect()
+        assert sorted(map(tuple, mailed)) == found
+    gone = spark.read.parquet(f"{target}/retracted").select("message_id", "file_path").distinct().collect()
+    assert sorted((r.message_id, r.file_path[-8]) for r in gone) == [
+        *[("<fall@h>", f) for f in "bcde"], ("<late@h>", "c"), ("<mixed@h>", "c")]
+
+
+def test_a_parse_batch_that_is_run_again_keeps_nothing_twice(spark, tmp_path):
+    import os
+
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(2):
+        write(tmp_path, f"in/proj/dev/{n}.mbox", mbox(mail(Message_ID=f"<{n}@h>"), mail(Message_ID="<both@h>")))
+        incremental.ingest_messages(spark, root, target)
+    before = sorted(map(str, incremental.stored(spark, target).drop("batch").collect()))
+    for name in ("1", ".1.crc"):
+        os.remove(tmp_path / "out" / "checkpoint" / "commits" / name)
+    incremental.ingest_messages(spark, root, target)
+    assert sorted(map(str, incremental.stored(spark, target).drop("batch").collect())) == before
+    assert len(before) == 3
