@@ -9,6 +9,8 @@ untouched somewhere in the window.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ WINDOW = 16
 #: Window length and substitutions allowed from there on; shorter items never match. For
 #: each length, all placings of so many substitutions were tried against the masks.
 ALLOWED = ((16, 3), (13, 2), (9, 1), (5, 0))
-#: Seeds of a benchmark that are sent to all executors (16 bytes and an id each); a larger
-#: benchmark is joined by exchanging both sides.
+#: Tokens before a hit that a window with the shortest mask reaches.
+BEFORE = WINDOW - min(mask[-1] + 1 for mask in MASKS)
+#: Seeds of a benchmark that are sent to all executors at once (16 bytes and an id each).
 BROADCAST_SEEDS = 2_000_000
+#: A larger benchmark is sent in so many parts at most, each a pass over the documents; a
+#: still larger one is joined by exchanging both sides.
+PASSES = 8
+DOC_KEYS = ["_lm_id", "_lm_text", "_lm_null"]
 
 
 def tokens(text: Column) -> Column:
@@ -56,29 +63,65 @@ def _seeds(rows: DataFrame, keys: list[str], words: str, keep: list[str]) -> Dat
         "_lm_seed IS NOT NULL")
 
 
-def _overlap(hits: DataFrame) -> DataFrame:
-    """Adds ``_lm_window`` and ``_lm_equal``: the best window that holds the hit's mask.
+def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a further column that is computed once, in a generated method of its own.
+
+    A projected column would be copied into every filter above it, and into the method of the
+    step below it, which beyond 8,000 bytes is never compiled.
+    """
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def _side_by_side(hits: DataFrame) -> DataFrame:
+    """Adds ``_lm_window`` and ``_lm_equal``: the best window around the hit.
 
     In: ``_lm_words``, ``_lm_at`` of the document, ``_lm_item_words``, ``_lm_item_at``, ``_lm_mask``.
+    The tokens that windows around a hit reach are compared to bits, and a window's are counted.
+    A window that sticks out has no bits there, so it counts no more than the one that ends
+    where item or document does. No lambda is used: generated code would end below it and hold
+    every hit of a document at once, each with a copy of all its tokens.
     """
     item, doc = F.col("_lm_item_words"), F.col("_lm_words")
     span = F.get(F.array(*[F.lit(mask[-1] + 1) for mask in MASKS]), F.col("_lm_mask"))
-    hits = hits.withColumns({
-        "_lm_window": F.least(F.size(item), F.lit(WINDOW)), "_lm_shift": F.col("_lm_at") - F.col("_lm_item_at")})
-    hits = hits.withColumns({
-        "_lm_low": F.greatest(F.lit(0), F.col("_lm_item_at") + span - F.col("_lm_window"), -F.col("_lm_shift")),
-        "_lm_high": F.least(
-            F.col("_lm_item_at"), F.size(item) - F.col("_lm_window"),
-            F.size(doc) - F.col("_lm_window") - F.col("_lm_shift"))}).where("_lm_high >= _lm_low")
-    length = F.col("_lm_high") - F.col("_lm_low") + F.col("_lm_window")
-    hits = hits.withColumn("_lm_same", F.zip_with(
-        F.slice(item, F.col("_lm_low") + 1, length), F.slice(doc, F.col("_lm_low") + F.col("_lm_shift") + 1, length),
-        lambda a, b: (a == b).cast("int")))
+    window, shift = F.least(F.size(item), F.lit(WINDOW)), F.col("_lm_at") - F.col("_lm_item_at")
+    hits = hits.where(
+        F.greatest(F.lit(0), F.col("_lm_item_at") + span - window, -shift)
+        <= F.least(F.col("_lm_item_at"), F.size(item) - window, F.size(doc) - window - shift))
+    bits = [
+        F.when(F.get(item, F.col("_lm_item_at") + at) == F.get(doc, F.col("_lm_at") + at), F.lit(1 << n)).otherwise(0)
+        for n, at in enumerate(range(-BEFORE, WINDOW))]
+    half = len(bits) // 2
+    hits = _settled(hits, "_lm_first", functools.reduce(Column.bitwiseOR, bits[:half]))
+    hits = _settled(hits, "_lm_same", functools.reduce(Column.bitwiseOR, bits[half:], F.col("_lm_first")))
+    windows = [
+        F.bit_count(F.shiftright("_lm_same", start).bitwiseAND(F.lit((1 << WINDOW) - 1))) for start in range(BEFORE + 1)]
+    equal = F.when(F.size(item) < WINDOW, F.bit_count("_lm_same")).otherwise(F.greatest(*windows))
+    return _settled(hits.withColumn("_lm_window", window), "_lm_equal", equal)
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """Adds ``_lm_window`` and ``_lm_equal``: the best window of an item and the tokens beside it.
+
+    In: ``_lm_item_words``; ``_lm_beside``, the document's tokens from the item's ``_lm_from`` on.
+    """
+    rows = rows.withColumn("_lm_window", F.least(F.size("_lm_item_words"), F.lit(WINDOW))).where(
+        F.size("_lm_beside") >= F.col("_lm_window"))
+    length = F.size("_lm_beside")
+    rows = _settled(rows, "_lm_same", F.zip_with(
+        F.slice("_lm_item_words", F.col("_lm_from") + 1, length), "_lm_beside", lambda a, b: (a == b).cast("int")))
     sums = F.transform(
-        F.sequence(F.lit(1), F.col("_lm_high") - F.col("_lm_low") + 1),
+        F.sequence(F.lit(1), length - F.col("_lm_window") + 1),
         lambda k: F.aggregate(F.slice("_lm_same", k, F.col("_lm_window")), F.lit(0), lambda s, x: s + x))
-    # A second use of ``_lm_same`` keeps it a column; else each sum would make it anew.
-    return hits.withColumn("_lm_equal", F.when(F.size("_lm_same") > 0, F.array_max(sums)))
+    return _settled(rows, "_lm_equal", F.array_max(sums))
+
+
+def _best(compared: DataFrame) -> DataFrame:
+    """The most equal tokens of each document, item id and window, where they are enough.
+
+    Items that share an id, or have none, are held against what their own window allows.
+    """
+    return compared.where(F.col("_lm_equal") >= F.col("_lm_window") - allowed(F.col("_lm_window"))).groupBy(
+        *DOC_KEYS, "_lm_item", "_lm_window").agg(F.max("_lm_equal").alias("_lm_equal"))
 
 
 def overlaps(
@@ -94,10 +137,11 @@ def overlaps(
     null id is kept. Rows with equal id and text are one document, items with equal id and
     text one item. Empty tables give an empty result.
 
-    Documents are read once and, if the benchmark has at most ``broadcast_seeds`` seeds
-    (counted first), not exchanged: every place of every text is looked up where it is. A
-    larger benchmark is joined on the hashes, which carry keys and places only, and hits
-    are brought back to their texts by key.
+    Documents are not exchanged: every place of every text is looked up where it is, among
+    at most ``broadcast_seeds`` seeds, and compared in the same generated code. A benchmark
+    with more seeds (counted first) is looked up in parts, one pass over the documents each;
+    beyond ``PASSES`` parts it is joined on the hashes, which carry keys and places only, and
+    each way to lay an item on a document is compared once.
     """
     keys = list(doc_key(id_col, text_col))
     items = written(
@@ -105,22 +149,35 @@ def overlaps(
         .distinct().where(F.size("_lm_item_words") >= ALLOWED[-1][0])
         .withColumn("_lm_item_key", F.xxhash64("_lm_item", "_lm_item_words")), "benchmark")
     seeds = written(_seeds(items, ["_lm_item_key"], "_lm_item_words", ["_lm_item_words"]).select(
-        "_lm_item_key", F.col("_lm_at").alias("_lm_item_at"), "_lm_mask", "_lm_seed"), "seeds")
+        "_lm_item_key", F.size("_lm_item_words").alias("_lm_item_size"), F.col("_lm_at").alias("_lm_item_at"),
+        "_lm_mask", "_lm_seed"), "seeds")
     texts = docs.select(*keys, F.col(id_col).isNull().alias("_lm_null"), tokens(text_of(text_col)).alias("_lm_words"))
-    doc_keys = ["_lm_id", "_lm_text", "_lm_null"]
-    places = _seeds(texts, doc_keys, "_lm_words", ["_lm_words"])
-    if seeds.count() <= broadcast_seeds:
-        hits = places.join(F.broadcast(seeds), ["_lm_seed", "_lm_mask"]).join(F.broadcast(items), "_lm_item_key")
+    places = _seeds(texts, DOC_KEYS, "_lm_words", ["_lm_words"])
+
+    def looked_up(part: Column) -> DataFrame:
+        hits = places.join(F.broadcast(seeds.where(part).drop("_lm_item_size")), ["_lm_seed", "_lm_mask"])
+        return _best(_side_by_side(hits.join(F.broadcast(items.where(part)), "_lm_item_key")))
+
+    n_seeds = seeds.count()
+    if n_seeds <= broadcast_seeds:
+        best = looked_up(F.lit(True))
+    elif n_seeds <= broadcast_seeds * PASSES:
+        parts = -(-n_seeds // broadcast_seeds)
+        # One after the other, so that no two parts are in memory.
+        best = [written(looked_up(F.pmod("_lm_item_key", F.lit(parts)) == k), "overlaps") for k in range(parts)]
+        best = _best(functools.reduce(DataFrame.unionAll, best))
     else:
-        found = places.select(*doc_keys, "_lm_at", "_lm_mask", "_lm_seed").join(seeds, ["_lm_seed", "_lm_mask"])
-        found = written(found.drop("_lm_seed").distinct(), "hits")
-        hits = found.join(texts, doc_keys).join(items, "_lm_item_key")
-    # Items that share an id, or have none, are held against what their own window allows.
-    best = _overlap(hits).groupBy("_lm_id", "_lm_text", "_lm_null", "_lm_item", F.col("_lm_window").alias("window")).agg(
-        F.max("_lm_equal").alias("equal")).where(F.col("equal") >= F.col("window") - allowed(F.col("window")))
+        shift = F.col("_lm_at") - F.col("_lm_item_at")
+        found = places.select(*DOC_KEYS, "_lm_at", "_lm_mask", "_lm_seed").join(seeds, ["_lm_seed", "_lm_mask"])
+        found = written(found.select(*DOC_KEYS, "_lm_item_key", "_lm_item_size", shift.alias("_lm_shift")).distinct(), "hits")
+        start = F.greatest(-F.col("_lm_shift"), F.lit(0))
+        beside = found.join(texts, DOC_KEYS).select(
+            *DOC_KEYS, "_lm_item_key", start.alias("_lm_from"),
+            F.slice("_lm_words", F.col("_lm_shift") + start + 1, F.col("_lm_item_size") - start).alias("_lm_beside"))
+        best = _best(_aligned(beside.join(items, "_lm_item_key")))
     return best.select(
         "_lm_id", "_lm_text", F.when(~F.col("_lm_null"), F.col("_lm_id")).alias(id_col),
-        F.col("_lm_item").alias(item_col), "window", "equal")
+        F.col("_lm_item").alias(item_col), F.col("_lm_window").alias("window"), F.col("_lm_equal").alias("equal"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

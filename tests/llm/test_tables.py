@@ -245,6 +245,39 @@ def test_items_that_share_an_id(spark, limit):
     assert Counter(r["doc_id"] for r in decontaminate.remove(docs, benchmark, broadcast_seeds=limit).collect()) == {11: 1, 12: 1}
 
 
+#: All seeds at once, in parts, and by exchange.
+LIMITS = [decontaminate.BROADCAST_SEEDS, 400, 0]
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_few_words_in_many_places(spark, limit):
+    """Words that come again and again: windows at all ends of items and documents."""
+    rng = random.Random(31)
+
+    def text(least, most):
+        return " ".join(rng.choice("ab") for _ in range(rng.randint(least, most)))
+
+    items = [(n, text(4, 34)) for n in range(40)]
+    docs = [(n, text(0, 60)) for n in range(60)]
+    docs += [(60 + n, " ".join([text(0, 3), item[rng.randrange(4) * 2:], text(0, 3)])) for n, item in items]
+    wanted = brute.overlaps(docs, items)
+    assert len(wanted) > 1_000 and {*wanted.values()} > {5, 8, 11, 13, 14, 15, 16}
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    result = decontaminate.overlaps(spark.createDataFrame(docs, DOC), benchmark, broadcast_seeds=limit).collect()
+    assert {(r["doc_id"], r["item_id"]): r["equal"] for r in result} == wanted and len(result) == len(wanted)
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 800])
+def test_a_long_document_full_of_hits(spark, limit):
+    """A phrase that a long document repeats and many items hold: no hit keeps the document's tokens."""
+    phrase = "which of the following is"
+    items = [(n, " ".join([phrase, *(f"i{n}w{j}" for j in range(15))])) for n in range(40)]
+    docs = [(1, f"{phrase} " * 6_000 + items[7][1]), (2, f"{phrase} of the")]
+    benchmark = spark.createDataFrame([*items, (99, f"{phrase} {phrase}")], "item_id bigint, text string")
+    result = decontaminate.overlaps(spark.createDataFrame(docs, DOC), benchmark, broadcast_seeds=limit).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["window"], r["equal"]) for r in result) == [(1, 7, 16, 16), (1, 99, 10, 10)]
+
+
 def test_removal(spark, odd, none, odd_rows):
     benchmark = spark.createDataFrame([(1, odd_rows[0][1])], "item_id bigint, text string")
     left = decontaminate.remove(odd, benchmark)
